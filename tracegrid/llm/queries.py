@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, gam
+from . import bpe, embed, gam, maglev
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,8 +32,22 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(spark, table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
+#: The shards of the sharding query.
+SHARDS = [f"shard-{i:03d}" for i in range(64)]
+
+
+def op6_maglev(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's slot and shard among 64."""
+    return maglev.place(spark, table(spark, sf_dir, "documents").select("doc_id"), "doc_id", SHARDS).select("doc_id", "slot", "shard")
+
+
+def op10_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each vector's links and component at cosine 0.9."""
+    return embed.near_duplicates(spark, table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_gam, op2_bpe)}
+    return {f.__name__: f for f in (op1_gam, op2_bpe, op6_maglev, op10_kmeans)}
 
 
 def oracle_sql() -> dict[str, str]:
