@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embed, gam, maglev
+from . import bpe, embed, gam, maglev, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +32,11 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(spark, table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to an archive and read back by the index."""
+    return warc.read(warc.write(spark, table(spark, sf_dir, "pages")))
+
+
 #: The shards of the sharding query.
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
 
@@ -47,7 +52,7 @@ def op10_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_gam, op2_bpe, op6_maglev, op10_kmeans)}
+    return {f.__name__: f for f in (op1_gam, op2_bpe, op3_warc, op6_maglev, op10_kmeans)}
 
 
 def oracle_sql() -> dict[str, str]:
