@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embed, gam, maglev, warc
+from . import bpe, embed, gam, kneser_ney, maglev, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +37,15 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(warc.write(spark, table(spark, sf_dir, "pages")))
 
 
+def op4_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's log10 probability by a model of those not held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held = F.coalesce(remainder(5) == 1, F.lit(False))
+    model = kneser_ney.fit(spark, docs.filter(~held))
+    scored = kneser_ney.score(docs, model)
+    return scored.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 #: The shards of the sharding query.
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
 
@@ -52,7 +61,7 @@ def op10_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_gam, op2_bpe, op3_warc, op6_maglev, op10_kmeans)}
+    return {f.__name__: f for f in (op1_gam, op2_bpe, op3_warc, op4_kneser_ney, op6_maglev, op10_kmeans)}
 
 
 def oracle_sql() -> dict[str, str]:
