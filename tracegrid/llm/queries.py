@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embed, gam, kneser_ney, maglev, warc
+from . import bpe, embed, gam, kneser_ney, linededup, maglev, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,13 +55,20 @@ def op6_maglev(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maglev.place(spark, table(spark, sf_dir, "documents").select("doc_id"), "doc_id", SHARDS).select("doc_id", "slot", "shard")
 
 
+def op9_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's lines, the removed ones, and the digest of the text that is left."""
+    out = linededup.dedup(spark, table(spark, sf_dir, "documents"))
+    left = F.coalesce("text", F.lit(""))
+    return out.select("doc_id", "n_lines", "n_removed", F.length(left).cast("long").alias("chars_left"), F.sha2(left.cast("binary"), 256).alias("text_sha256"))
+
+
 def op10_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each vector's links and component at cosine 0.9."""
     return embed.near_duplicates(spark, table(spark, sf_dir, "embeddings"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_gam, op2_bpe, op3_warc, op4_kneser_ney, op6_maglev, op10_kmeans)}
+    return {f.__name__: f for f in (op1_gam, op2_bpe, op3_warc, op4_kneser_ney, op6_maglev, op9_linededup, op10_kmeans)}
 
 
 def oracle_sql() -> dict[str, str]:
