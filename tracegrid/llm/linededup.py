@@ -1,6 +1,7 @@
 """Line dedup by content-defined chunks.
 
-A text is cut in lines (at line breaks, and inside them after sentence ends).
+A text is cut in lines (at line breaks, and inside them after the ends of
+sentences and clauses, so that a line's edit spoils little of a passage).
 A rolling hash over the hashes of WINDOW lines marks chunk boundaries, so a
 boundary depends on the lines beside it alone and moves along with a passage.
 A chunk of several lines that stands elsewhere too is kept in the document of
@@ -33,12 +34,12 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from .common import HashStore, U64, bucket_bits, hash_bytes, mix, scan_bytes, shared_dir, slices, texts, write_store
 
-CUT = re.compile(r"(?<=\n)|(?<=[.!?] )")
+CUT = re.compile(r"(?<=\n)|(?<=[.!?,;:] )")
 WINDOW = 2
 MEAN = 2  # a boundary after one line in so many
-WORDS = 12  # of a chunk, at least
+WORDS = 8  # of a chunk, at least
 ALONE = 40  # words that make a chunk of one line qualify
-SIDE = 4  # lines kept on each side of a chunk for the comparison
+SIDE = 6  # lines kept on each side of a chunk for the comparison
 
 
 class Chunks:
