@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import HashStore, bucket_bits, hash_bytes, scan_bytes, shared_dir, slices, texts, write_store
+from .common import HashStore, bucket_bits, hash_bytes, saved, scan_bytes, shared_dir, slices, texts, write_store
 
 #: Fixed value: the characters with Unicode's White_Space property.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -41,7 +41,7 @@ MASK = (1 << ID) - 1
 SLOTS = 1 << 17
 NONE = 1 << ID  # the rank of a pair that has none
 LONG = 1024
-CACHE = 400_000
+CACHE = 200_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -179,7 +179,7 @@ def piece_store(spark: SparkSession, docs: DataFrame, text: str, rank_path: str,
     bits = bucket_bits(scan_bytes(docs), 32 << 20)
     ranks = load_ranks(rank_path)
     # an even deal: a task reads the literal anew, so there are as many as make them worth it
-    pieces = distinct_pieces(docs, text, pattern).repartition(min(4096, max(8, scan_bytes(docs) >> 24)))
+    pieces = saved(distinct_pieces(docs, text, pattern).repartition(min(4096, max(8, scan_bytes(docs) >> 24))), spark, "pieces")
     encoded = encode_pieces(pieces.filter(F.length("piece") <= LONG), ranks)
     long = pieces.filter(F.length("piece") > LONG)
 

@@ -92,7 +92,9 @@ def as_long(x: np.ndarray) -> np.ndarray:
 
 
 def texts(col: pa.Array) -> pa.Array:
-    """Null texts as empty ones."""
+    """Null texts as empty ones, in buffers of their own (some kernels misread slices)."""
+    if col.offset:
+        col = col.take(pa.array(np.arange(len(col))))
     return pc.fill_null(col.cast(pa.large_string()), "")
 
 
@@ -116,7 +118,7 @@ def words(col: pa.Array) -> tuple[np.ndarray, list[bytes], np.ndarray]:
     return idx, names, counts
 
 
-def slices(batch: pa.RecordBatch, column: str, limit: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """The batch in runs of rows whose ``column`` holds about ``limit`` bytes."""
     if not batch.num_rows:
         return

@@ -33,7 +33,7 @@ from .common import HashStore, U64, bucket_bits, hash_bytes, mix, put_bucket, sa
 END = 0  # the number of the end token; words count from 2
 START = 1  # the context of a first word
 UNKNOWN = np.int64(0xFFFFFFFF)
-SLICE = 16 << 20
+SLICE = 8 << 20
 RANGE_BITS = 16  # word numbers a range file holds
 
 
@@ -279,7 +279,7 @@ def score(docs: DataFrame, model: Model, id: str = "doc_id", text: str = "text")
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.opened()
         for batch in batches:
-            for part in slices(batch, text, SLICE):
+            for part in slices(batch, text, SLICE // 4):
                 left, right, count, lens = _bigrams(part.column(text), m.lexicon)
                 count = np.where(count < 0, m.ends, count)
                 own = np.repeat(np.arange(len(lens)), lens)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embed, gam, kneser_ney, linededup, maglev, warc
+from . import bpe, embed, gam, jaccard, kneser_ney, linededup, maglev, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,6 +46,11 @@ def op4_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's set size and component at a Jaccard similarity of 0.9 on three words."""
+    return jaccard.link_groups(spark, table(spark, sf_dir, "documents"))
+
+
 #: The shards of the sharding query.
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
 
@@ -68,7 +73,7 @@ def op10_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_gam, op2_bpe, op3_warc, op4_kneser_ney, op6_maglev, op9_linededup, op10_kmeans)}
+    return {f.__name__: f for f in (op1_gam, op2_bpe, op3_warc, op4_kneser_ney, op5_jaccard, op6_maglev, op9_linededup, op10_kmeans)}
 
 
 def oracle_sql() -> dict[str, str]:
