@@ -1,13 +1,62 @@
-"""The corpus pipeline: stages over ``documents``, each calling one operator."""
+"""The corpus pipeline: five stages over ``documents``, each calling one operator.
+
+1. quality     documents that the classifier rejects go
+2. lines       repeated passages go from the texts; a text that they leave empty goes too
+3. copies      of near-duplicate documents, that of smallest id stays
+4. benchmark   documents that hold a benchmark item go
+5. tokens      the ids of what is left
+
+A stage reads what its predecessor wrote and returns the columns of
+``documents`` (the last: doc_id, n_tokens, ids). Null and empty texts go
+through as empty ones, unless the classifier rejects them.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tracegrid.llm import bpe, decontaminate, gam, jaccard, linededup
+from tracegrid.llm.common import saved
+from tracegrid.llm.queries import RANKS, remainder, table
+
+THRESHOLD = 0.3
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = gam.fit(docs, table(spark, sf_dir, "labels").filter(remainder(5) != 0))
+    return gam.score(docs, model, out="_score").filter(F.col("_score") >= THRESHOLD).select(*docs.columns)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    out = linededup.dedup(spark, docs).filter((F.col("n_removed") == 0) | (F.trim("text") != ""))
+    changed = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    return out.withColumn("n_chars", changed).select(*docs.columns)
+
+
+def copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return jaccard.keep_one(spark, docs)
+
+
+def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.clean(spark, docs, table(spark, sf_dir, "benchmark"))
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    ids = bpe.encode(spark, docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
+    return ids.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")
+
+
+STAGES = [("quality", quality), ("lines", lines), ("copies", copies), ("benchmark", benchmark), ("tokens", tokens)]
+#: The classifier, the hashes and the merges have no SQL form; the tests compare with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages over ``documents``; each one's rows are written and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = saved(stage(spark, docs, sf_dir), spark, name)
+    return STAGES[-1][1](spark, docs, sf_dir)

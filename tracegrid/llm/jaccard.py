@@ -346,3 +346,31 @@ def link_groups(spark: SparkSession, docs: DataFrame, percent: int = 90, width:
             yield pa.RecordBatch.from_pydict({id: b.column("id"), "n_shingles": b.column("n"), "component_id": pa.array(best, mask=best == NO_ID)})
 
     return own.mapInArrow(name, f"`{id}` long, n_shingles long, component_id long")
+
+
+def keep_one(spark: SparkSession, docs: DataFrame, percent: int = 90, width: int = 3, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with one document of each group, that of smallest id.
+
+    The ids that go stand in a hash store, so the texts are not shuffled. Rows
+    that repeat a kept id all stay, and so do rows without an id.
+    """
+    groups = link_groups(spark, docs, percent, width, id, text)
+    gone, bits = shared_dir(spark, "gone"), bucket_bits(scan_bytes(docs), 64 << 20)
+
+    def key_of(col: pa.Array) -> np.ndarray:
+        return mix(np.array(col.cast(pa.int64()).fill_null(NO_ID)).view(U64))
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            key = key_of(b.column("id"))
+            yield pa.RecordBatch.from_pydict({"key": pa.array(key.view(np.int64)), "one": pa.array(np.ones(len(key), np.int32))})
+
+    write_store(groups.filter(F.col(id) != F.col("component_id")).select(F.col(id).alias("id")).distinct().mapInArrow(keyed, "key long, one int"), gone, bits)
+
+    def left(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store = HashStore(gone, bits)
+        for b in batches:
+            found, _ = store.find(key_of(b.column(id)))
+            yield b.filter(pa.array(~found))
+
+    return docs.mapInArrow(left, docs.schema)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embed, gam, jaccard, kneser_ney, linededup, maglev, warc
+from . import bpe, decontaminate, embed, gam, jaccard, kneser_ney, linededup, maglev, sanitise, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,11 +24,15 @@ def op1_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gam.score(docs, model).select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+#: The vocabulary of the encoding query.
+RANKS = "byte_bpe_multi_50k.tiktoken"
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document's ids by the 50k multilingual vocabulary, and their decoding."""
     import public_tokenizers
 
-    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    path = public_tokenizers.path(RANKS)
     return bpe.encode_digests(spark, table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
@@ -60,6 +64,17 @@ def op6_maglev(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maglev.place(spark, table(spark, sf_dir, "documents").select("doc_id"), "doc_id", SHARDS).select("doc_id", "slot", "shard")
 
 
+def op7_sanitise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's personal data, and the terms that disclose it."""
+    return sanitise.find(spark, table(spark, sf_dir, "documents"))
+
+
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The benchmark items found in each document, and their distances."""
+    found = decontaminate.matches(spark, table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", (F.size("items") > 0).alias("contaminated"), F.size("items").cast("long").alias("n_items"), F.col("items").alias("item_ids"), "distances")
+
+
 def op9_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document's lines, the removed ones, and the digest of the text that is left."""
     out = linededup.dedup(spark, table(spark, sf_dir, "documents"))
@@ -73,7 +88,7 @@ def op10_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_gam, op2_bpe, op3_warc, op4_kneser_ney, op5_jaccard, op6_maglev, op9_linededup, op10_kmeans)}
+    return {f.__name__: f for f in (op1_gam, op2_bpe, op3_warc, op4_kneser_ney, op5_jaccard, op6_maglev, op7_sanitise, op8_decontaminate, op9_linededup, op10_kmeans)}
 
 
 def oracle_sql() -> dict[str, str]:
