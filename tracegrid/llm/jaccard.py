@@ -7,7 +7,7 @@ components exactly; it does not write out pairs.
 1. Texts with equal sets fold to one set (a hash store names the first one).
 2. A count sketch over all shingles gives a global order, rare ones first. Each
    set is indexed under its prefix: a partner must share one of those shingles.
-   Shingles that only one set is indexed under are dropped by their counts.
+   Entries go whose list holds no other set, or none of fitting size.
 3. The sets that are left go to a hash store, mapped by the workers.
 4. An index list is worked through in one task. It is sorted by size, in blocks
    that know their sizes and first positions; a block is skipped when its best
@@ -204,23 +204,24 @@ def link_groups(spark: SparkSession, docs: DataFrame, percent: int = 90, width:
     """(id, n_shingles, component_id) of each row of ``docs``."""
     size = scan_bytes(docs)
     bits = bucket_bits(size, 64 << 20)
-    slots = min(30, max(RANGE + 2, round(math.log2(max(1, min(size, 1 << 44)))) - 9))
+    slots = min(24, max(RANGE + 2, round(math.log2(max(1, min(size, 1 << 44)))) - 6))  # its size has a bound
     rows = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
 
     # ---- 1: sizes and set ids, and the sketch
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = np.zeros(1 << slots, np.uint32)
+        count = np.zeros(1 << slots, np.uint16)
         for batch in batches:
             for part in slices(batch, "text", 8 << 20):
                 h, n = shingle_sets(part.column("text"), width)
                 slot, times = np.unique(h >> U64(64 - slots), return_counts=True)
-                count[slot.astype(np.int64)] += times.astype(np.uint32)
+                slot = slot.astype(np.int64)
+                count[slot] = np.minimum(count[slot] + times, 65535)
                 sid = set_ids(h, n).view(np.int64)
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(n, pa.int64()), pa.array(sid), pa.nulls(len(n), pa.int64()), pa.nulls(len(n), pa.binary())], names=["id", "n", "sid", "r", "blob"])
         for r in range(1 << (slots - RANGE)):
             part = count[r << RANGE : (r + 1) << RANGE]
             if part.any():
-                yield pa.RecordBatch.from_pydict({"id": pa.nulls(1, pa.int64()), "n": pa.nulls(1, pa.int64()), "sid": pa.nulls(1, pa.int64()), "r": pa.array([r], pa.int64()), "blob": pa.array([np.minimum(part, 65535).astype(np.uint16).tobytes()], pa.binary())})
+                yield pa.RecordBatch.from_pydict({"id": pa.nulls(1, pa.int64()), "n": pa.nulls(1, pa.int64()), "sid": pa.nulls(1, pa.int64()), "r": pa.array([r], pa.int64()), "blob": pa.array([part.tobytes()], pa.binary())})
 
     measured = saved(rows.mapInArrow(measure, "id long, n long, sid long, r long, blob binary"), spark, "measured")
     own = measured.filter("r is null").select("id", "n", "sid")
@@ -237,7 +238,8 @@ def link_groups(spark: SparkSession, docs: DataFrame, percent: int = 90, width:
             yield pa.RecordBatch.from_pydict({"r": pa.array([r], pa.int64())})
 
     files = 1 << (slots - RANGE)
-    for r in set(range(files)) - {x.r for x in measured.filter("r is not null").select("r", "blob").repartition(files, "r").mapInArrow(add_up, "r long").collect()}:
+    few = F.lit(min(files, 64))
+    for r in set(range(files)) - {x.r for x in measured.filter("r is not null").select("r", "blob").withColumn("d", F.pmod("r", few)).repartition(min(files, 64), "d").mapInArrow(add_up, "r long").collect()}:
         put_bucket(sketch, r, {"n": np.zeros(1 << RANGE, np.uint32)})
     copies = shared_dir(spark, "copies")
     same = own.filter("sid <> 0").groupBy("sid").agg(F.count("*").alias("c"), F.min("id").alias("id")).filter("c > 1")
@@ -275,6 +277,26 @@ def link_groups(spark: SparkSession, docs: DataFrame, percent: int = 90, width:
 
     lists = saved(entries.mapInArrow(in_lists, "tok long, sid long, id long, n int, pos int, c long"), spark, "lists")
 
+    n_tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    blocks = F.ceil(F.col("c") / LIST)
+    blocked = lists.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("sid"), F.col("blocks")))
+
+    def fitting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The entries whose list holds another set of fitting size; all of a list of several blocks."""
+        got = list(batches)
+        if not got:
+            return
+        table = pa.Table.from_batches(got)
+        tok, block, n = (table.column(c).to_numpy() for c in ("tok", "block", "n"))
+        order = np.lexsort((n, block, tok))
+        tok, block, n = tok[order], block[order], n[order].astype(np.int64)
+        fits = (tok[1:] == tok[:-1]) & (block[1:] == block[:-1]) & (100 * n[:-1] >= percent * n[1:])
+        keep = np.r_[False, fits] | np.r_[fits, False] | (table.column("blocks").to_numpy()[order] > 1)
+        yield from table.take(pa.array(order[keep])).combine_chunks().to_batches()
+
+    blocked = saved(blocked.repartition(n_tasks, "tok", "block").mapInArrow(fitting, blocked.schema), spark, "fitting")
+    lists = blocked
+
     # ---- 3: the sets that lists hold
     active, stored = shared_dir(spark, "active"), shared_dir(spark, "sets")
     write_store(lists.groupBy(F.col("sid").alias("key")).agg(F.min("id").alias("id")), active, bits)
@@ -300,9 +322,6 @@ def link_groups(spark: SparkSession, docs: DataFrame, percent: int = 90, width:
             match.work(part["sid"].tolist(), part["n"].astype(np.int64), part["pos"].astype(np.int64))
             yield match.take()
 
-    n_tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    blocks = F.ceil(F.col("c") / LIST)
-    blocked = lists.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("sid"), F.col("blocks")))
     near = saved(blocked.select("tok", "block", "sid", "n", "pos").repartition(n_tasks, "tok", "block").mapInArrow(by_list, "a long, b long"), spark, "near")
     long = blocked.filter("blocks > 1")
     if not long.isEmpty():
