@@ -1,7 +1,9 @@
 """Benchmark decontamination by pigeonhole edit matching.
 
 A test item of m normalised characters may be found with k = error * m edits.
-Cut in k + 1 pieces, at least one piece of any such occurrence is unchanged.
+Cut in k + 1 pieces, at least one piece of any such occurrence is unchanged;
+and of the pieces taken by twos, some two have at most one edit together, so
+the hit's sibling must stand beside it with at most one.
 So all items' pieces are looked for at once (Aho-Corasick over the whole
 text); a piece hit gives a window, which is checked first by the q-gram lemma
 and then by Myers' bit-parallel distance (item anywhere in the window).
@@ -34,11 +36,11 @@ MIN = 24
 GRAM = 3
 BLOCK = 16 << 20
 
-_SPACES = {i: " " for i in range(128) if not chr(i).isalnum()}
+_SPACES = bytes(i if i > 127 or chr(i).isalnum() else 32 for i in range(256))
 
 
 def normal(text: str) -> str:
-    return " ".join(text.lower().translate(_SPACES).split())
+    return b" ".join(text.lower().encode().translate(_SPACES).split()).decode()
 
 
 def pieces(item: str, k: int) -> list[tuple[int, str]]:
@@ -47,6 +49,18 @@ def pieces(item: str, k: int) -> list[tuple[int, str]]:
     return [(s, item[s:e]) for s, e in zip(cuts, cuts[1:])]
 
 
+def beside(text: str, start: int, end: int, sibling: str, right: bool) -> bool:
+    """Whether ``sibling`` can stand next to text[start:end] with at most one edit: one
+    of its halves is then unchanged, shifted by one place at most."""
+    half = len(sibling) // 2
+    a, b = sibling[:half], sibling[half:]
+    if right:
+        near = text[end : end + len(sibling) + 1]
+        return near.startswith(a) or b in near[max(0, half - 1) :]
+    near = text[max(0, start - len(sibling) - 1) : start]
+    return near.endswith(b) or a in near[: half + 2]
+
+
 def myers(item: str, text: str, limit: int) -> int | None:
     """The least edit distance of ``item`` to any part of ``text``, None if over ``limit``."""
     m = len(item)
@@ -81,10 +95,12 @@ class Finder:
         own = [(i, normal(t or "")) for i, t in items]
         self.items = [(i, t, int(error * len(t))) for i, t in own if len(t) >= MIN]
         self.grams = [Counter(t[j : j + GRAM] for j in range(len(t) - GRAM + 1)) for _, t, _ in self.items]
-        at: dict[str, list[tuple[int, int]]] = {}
+        at: dict[str, list[tuple]] = {}
         for n, (_, t, k) in enumerate(self.items):
-            for offset, piece in pieces(t, k):
-                at.setdefault(piece, []).append((n, offset))
+            cut = pieces(t, k)
+            for j, (offset, piece) in enumerate(cut):
+                sibling = cut[j ^ 1][1] if j ^ 1 < len(cut) else None
+                at.setdefault(piece, []).append((n, offset, sibling, j % 2 == 0))
         self.machine = ahocorasick.Automaton()
         for piece, where in at.items():
             self.machine.add_word(piece, (len(piece), where))
@@ -100,7 +116,9 @@ class Finder:
         text = normal(text)
         tried: set[tuple[int, int]] = set()
         for end, (length, where) in self.machine.iter(text):
-            for n, offset in where:
+            for n, offset, sibling, right in where:
+                if sibling is not None and not beside(text, end + 1 - length, end + 1, sibling, right):
+                    continue
                 start = end + 1 - length - offset
                 _, item, k = self.items[n]
                 if found.get(n) == 0 or (n, start) in tried:

@@ -93,7 +93,7 @@ def dedup(spark: SparkSession, docs: DataFrame, id: str = "doc_id", text: str =
 
     def chunk_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text", 8 << 20):
+            for part in slices(batch, "text", 2 << 20):
                 c = Chunks(texts(part.column("text")).to_pylist())
                 own = part.column("id").take(pa.array(c.doc[c.good]))
                 yield pa.RecordBatch.from_pydict({"key": pa.array(c.key[c.good].view(np.int64)), "id": own})
@@ -105,7 +105,7 @@ def dedup(spark: SparkSession, docs: DataFrame, id: str = "doc_id", text: str =
     def kept_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store = HashStore(keepers, bits)
         for batch in batches:
-            for part in slices(batch, "text", 8 << 20):
+            for part in slices(batch, "text", 2 << 20):
                 c = Chunks(texts(part.column("text")).to_pylist())
                 own = np.array(part.column("id").fill_null(-1))[c.doc]
                 at = np.flatnonzero(c.good)
@@ -123,7 +123,7 @@ def dedup(spark: SparkSession, docs: DataFrame, id: str = "doc_id", text: str =
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keeper, bytes_ = HashStore(keepers, bits), HashStore(kept, bits)
         for batch in batches:
-            for part in slices(batch, text, 8 << 20):
+            for part in slices(batch, text, 2 << 20):
                 col = part.column(text)
                 before = texts(col).to_pylist()
                 c = Chunks(before)

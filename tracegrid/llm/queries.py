@@ -9,6 +9,8 @@ from . import bpe, decontaminate, embed, gam, jaccard, kneser_ney, linededup, ma
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    # long texts: a batch of the default 10,000 rows would fill a worker
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
