@@ -32,7 +32,7 @@ def pair_scores(grid: DataFrame) -> DataFrame:
     both = both.select("cycle", "row", "col", (low_byte("value") + low_byte("next") * 256).alias("le"), (low_byte("next") + low_byte("value") * 256).alias("be"))
     w = Window.partitionBy("cycle", "col").orderBy("row")
     both = both.withColumn("dle", F.col("le") - F.lag("le").over(w)).withColumn("dbe", F.col("be") - F.lag("be").over(w))
-    var = lambda c: F.round(F.coalesce(F.var_pop(c), F.lit(0.0)), 6)
+    var = lambda c: F.round(F.coalesce(F.var_pop(c), F.lit(0.0)), 3)
     out = both.groupBy("cycle", "col").agg(var("dle").alias("le_var"), var("dbe").alias("be_var"), F.countDistinct("le").alias("le_distinct"), F.countDistinct("be").alias("be_distinct"))
     better = lambda a, b: (F.col(f"{a}_var") < F.col(f"{b}_var")) | ((F.col(f"{a}_var") == F.col(f"{b}_var")) & (F.col(f"{a}_distinct") < F.col(f"{b}_distinct")))
     kind = F.when(better("le", "be") & (F.col("le_var") < PAIR_VARIANCE), "U16_LE").when(better("be", "le") & (F.col("be_var") < PAIR_VARIANCE), "U16_BE")

@@ -253,7 +253,7 @@ cf AS (SELECT cycle, col, count(*) AS rows, min(value) = max(value) AS constant,
   coalesce(min(d) >= 0, true) AS mono, round(coalesce(var_pop(d), 0), 6) AS step_var FROM st GROUP BY cycle, col),
 pb AS (SELECT a.cycle, a.row, a.col, (a.value & 255) + (b.value & 255) * 256 AS le, (b.value & 255) + (a.value & 255) * 256 AS be FROM g a JOIN g b ON a.cycle = b.cycle AND a.row = b.row AND b.col = a.col + 1),
 pd AS (SELECT *, le - lag(le) OVER w AS dle, be - lag(be) OVER w AS dbe FROM pb WINDOW w AS (PARTITION BY cycle, col ORDER BY row)),
-ps AS (SELECT cycle, col, round(coalesce(var_pop(dle), 0), 6) AS le_var, round(coalesce(var_pop(dbe), 0), 6) AS be_var, count(DISTINCT le) AS le_distinct, count(DISTINCT be) AS be_distinct FROM pd GROUP BY cycle, col),
+ps AS (SELECT cycle, col, round(coalesce(var_pop(dle), 0), 3) AS le_var, round(coalesce(var_pop(dbe), 0), 3) AS be_var, count(DISTINCT le) AS le_distinct, count(DISTINCT be) AS be_distinct FROM pd GROUP BY cycle, col),
 pp AS (SELECT *, CASE WHEN (le_var < be_var OR (le_var = be_var AND le_distinct < be_distinct)) AND le_var < 50 THEN 'U16_LE'
   WHEN (be_var < le_var OR (le_var = be_var AND be_distinct < le_distinct)) AND be_var < 50 THEN 'U16_BE' END AS pair FROM ps)"""
 LAYOUT = """al AS (SELECT cf.cycle, cf.col, pair, CASE WHEN constant THEN 'CONST' WHEN bin01 OR bin0255 THEN 'FLAG' WHEN mono AND rows >= 3 AND step_var < 5 THEN 'COUNTER' END AS alone FROM cf LEFT JOIN pp ON cf.cycle = pp.cycle AND cf.col = pp.col),
