@@ -147,7 +147,7 @@ def disclosures(spark: SparkSession, docs: DataFrame, text: str = "text") -> tup
     write_store(pairs.select(F.col("t").alias("key")).distinct().withColumn("one", F.lit(1)), terms, bits)
 
     def frequency(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store = HashStore(terms, bits)
+        store, parts, held = HashStore(terms, bits), [], 0
         for batch in batches:
             for part in slices(batch, text):
                 idx, names, counts = words(part.column(text))
@@ -159,8 +159,19 @@ def disclosures(spark: SparkSession, docs: DataFrame, text: str = "text") -> tup
                 own = np.repeat(np.arange(len(counts)), counts)[keep]
                 once = np.unique(own << 32 | back[idx[keep]]) & 0xFFFFFFFF
                 n = np.bincount(once, minlength=len(ids))
-                some = n > 0
-                yield pa.RecordBatch.from_pydict({"t": pa.array(ids[some].view(np.int64)), "n": pa.array(n[some], pa.int64())})
+                parts.append((ids[n > 0], n[n > 0]))
+                held += len(parts[-1][0])
+                if held > 1 << 22:
+                    yield summed(parts)
+                    parts, held = [], 0
+        if parts:
+            yield summed(parts)
+
+    def summed(parts: list) -> pa.RecordBatch:
+        """A task's counts, one row a term."""
+        ids, back = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+        n = np.bincount(back, np.concatenate([c for _, c in parts]), len(ids)).astype(np.int64)
+        return pa.RecordBatch.from_pydict({"t": pa.array(ids.view(np.int64)), "n": pa.array(n)})
 
     docs_with = docs.select(text).mapInArrow(frequency, "t long, n long").groupBy("t").agg(F.sum("n").alias("nt"))
     entities = seen.filter("c is not null and t is null").select("c", F.col("n").alias("nc"))
