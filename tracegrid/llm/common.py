@@ -55,8 +55,9 @@ def saved(df: DataFrame, spark: SparkSession, name: str) -> DataFrame:
 
 
 def scan_bytes(df: DataFrame) -> int:
-    """Size of what ``df`` scans, as the optimizer knows it."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """Size of what ``df`` scans, as the optimizer knows it; 64 MB for rows whose size it doesn't know."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 1 << 60 else 64 << 20
 
 
 def bucket_bits(size: int, per_bucket: int = 8 << 20) -> int:
