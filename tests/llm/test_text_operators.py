@@ -138,6 +138,30 @@ def test_jaccard(spark, docs, rows, empty, block, monkeypatch):
         assert jaccard.link_groups(spark, spark.createDataFrame([(None, "a b c d"), (4, "a b c d"), (None, "z")], "doc_id long, text string")).filter("component_id = 4").count() == 2
 
 
+def test_copies_stage(spark, rows):
+    import corpus_pipeline
+
+    rng = random.Random(12)
+    near = [[f"w{rng.randint(0, 10**6)}" for _ in range(100)] for _ in range(4)]
+    crowd = list(rows)
+    for k, words in enumerate(near):
+        crowd.append((2000 + k, " ".join(words)))
+        for m, spoilt in enumerate([(30, 70), (20, 50, 80)]):  # 86 of 106 shingles of five words, 81 of 111
+            crowd.append((3000 + 10 * k + m, " ".join(f"x{i}" if i in spoilt else w for i, w in enumerate(words))))
+    sets = [(i, shingles(t, 5)) for i, t in crowd]
+    up = list(range(len(sets)))
+    for a in range(len(sets)):
+        for b in range(a):
+            x, y = sets[a][1], sets[b][1]
+            if x and y and 100 * len(x & y) >= 80 * len(x | y):
+                up = [up[b] if u == up[a] else u for u in up]
+    least = {u: min(i for (i, _), v in zip(sets, up) if v == u) for u in up}
+    want = sorted(i for (i, _), u in zip(sets, up) if i == least[u])
+    got = corpus_pipeline.copies(spark, spark.createDataFrame(crowd, "doc_id long, text string"), "")
+    assert sorted(r.doc_id for r in got.collect()) == want
+    assert {3000, 3010, 3020, 3030}.isdisjoint(want)
+
+
 # ---------------------------------------------------------------- 6
 
 
