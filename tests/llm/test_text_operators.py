@@ -290,3 +290,20 @@ def test_line_dedup(spark, docs, rows, empty):
     twice = "One line of some words here, another one of some more words. And a third one that is long. " * 4
     alone = linededup.dedup(spark, spark.createDataFrame([(1, twice)], "doc_id long, text string")).first()
     assert 0 < len(alone.text) <= len(twice)
+
+
+@pytest.mark.parametrize("clauses, size", [(1, 60), (1, 31), (2, 30), (3, 20), (4, 14), (5, 12), (6, 10), (8, 7)])
+def test_line_dedup_few_clauses(spark, clauses, size):
+    """A passage that two documents share, between neighbours of their own, leaves the second one."""
+    rng = random.Random(100 * clauses + size)
+    clause = lambda n: " ".join(f"w{rng.randint(0, 10**7)}" for _ in range(n)) + ", "
+    own = lambda: "".join(clause(rng.randint(3, 12)) for _ in range(rng.randint(1, 5)))
+    texts, want = [], {}
+    for k in range(60):
+        passage = "".join(clause(size) for _ in range(clauses))
+        for i in (2 * k, 2 * k + 1):
+            before, after = own(), own()
+            texts.append((i, before + passage + after))
+            want[i] = before + after if i % 2 else before + passage + after
+    got = linededup.dedup(spark, spark.createDataFrame(texts, "doc_id long, text string"))
+    assert {r.doc_id: r.text for r in got.collect()} == want
