@@ -219,6 +219,19 @@ def test_sanitise(spark, empty):
     assert sanitise.find(spark, empty).count() == 0
 
 
+def test_sanitise_whole_document(spark):
+    """Terms far from a mention, codes that start with digits, and entities of one document count."""
+    common = "the work of the day at that is all about to write " * 5
+    far = f"Zorbius said so. {common} mail z.q@mail.example.com {common} his file is 77X-1009, by Quandle."
+    rows = [(0, far)] + [(10 + i, common) for i in range(3000)] + [(5000 + i, "Half known, as is " + common) for i in range(300)]
+    got = {r.doc_id: r for r in sanitise.find(spark, spark.createDataFrame(rows, "doc_id long, text string"), with_text=True).collect()}
+    marked = {far[int(a) : int(b)] for _, a, b in (x.split(":") for x in got[0].spans.split(",")[1:])}
+    assert {"Zorbius", "Quandle", "77X-1009"} <= marked and not marked & set(common.split())
+    assert all(x not in got[0].sanitised for x in ("Zorbius", "Quandle", "77X-1009"))
+    assert got[10].n_term == got[5000].n_term == 0
+    assert got[0].n_term == sum(x in marked for x in re.findall(r"[\w-]+", far.replace("z.q@mail.example.com", "")))
+
+
 # ---------------------------------------------------------------- 8
 
 

@@ -5,11 +5,12 @@ found from left to right without overlaps; a match that fails its check (parts
 over 255, Luhn, number of digits) is dropped and not tried again in part.
 
 Terms: every distinct value found is a protected entity c of information
-IC(c) = -log2 p(c), p over documents. A word t within REACH words of a mention
+IC(c) = -log2 p(c), p over documents. A word t of a document that mentions c
 discloses c as far as PMI(c; t) = log2 p(c, t) / (p(c) p(t)) reaches IC(c):
-equality means that t stands in no document without c. Terms from GENERALISE
-of IC(c) on are generalised, from REMOVE on removed. A pair counts only from
-SUPPORT documents on, as a word met once tells nothing about its use.
+near equality means that t stands in no document without c. All of p are over
+documents and the words outside of mentions; t's documents count as SMOOTH
+more, so a pair met once reaches the less the smaller the corpus is. Terms from
+GENERALISE of IC(c) on are generalised, from REMOVE on removed.
 
 The counts cover all documents: pairs and entities from all mentions, and the
 document frequency of every word that is in a pair. They are summed with
@@ -25,6 +26,7 @@ import hashlib
 import re
 from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +36,7 @@ from pyspark.sql import functions as F
 from .common import U64, HashStore, bucket_bits, hash_bytes, mix, saved, scan_bytes, shared_dir, slices, texts, words, write_store
 
 KINDS = ("email", "ip", "card", "phone")
-REACH = 8
-SUPPORT = 2
+SMOOTH = 1
 GENERALISE = 0.6
 REMOVE = 0.9
 
@@ -93,23 +94,23 @@ def entity(text: str, span: Span) -> bytes:
     return f"{span[0]}:{_digits(raw) if span[0] in ('card', 'phone') else raw.lower()}".encode()
 
 
-def contexts(text: str, spans: list[Span]) -> dict[bytes, list[Span]]:
-    """Each entity's words within REACH of a mention, with their places."""
-    found = [(m.start(), m.end()) for m in _WORD.finditer(text)]
-    starts = [s for s, _ in found]
+def outside(text: str, spans: list[Span]) -> list[Span]:
+    """The text's words that no mention touches, with their places."""
     taken = sorted((s, e) for _, s, e in spans)
-    tops = [s for s, _ in taken]
-    out: dict[bytes, set] = {}
-    for span in spans:
-        own = out.setdefault(entity(text, span), set())
-        low, high = bisect_left(starts, span[1] + 1) - 1, bisect_left(starts, span[2])
-        for s, e in found[max(0, low - REACH) : low] + found[high : high + REACH]:
-            core = text[s:e].strip(_EDGES)
-            i = bisect_left(tops, e)
-            if core and core[0].isalpha() and not any(b > s for _, b in taken[max(0, i - 4) : i]):
-                at = text.index(core, s)
-                own.add((core.translate(_LOWER), at, at + len(core)))
-    return {c: sorted(w, key=lambda x: x[1:]) for c, w in out.items()}
+    tops, reach = [s for s, _ in taken], list(accumulate((e for _, e in taken), max))
+    out = []
+    for m in _WORD.finditer(text):
+        s, e = m.span()
+        core = m[0].strip(_EDGES)
+        i = bisect_left(tops, e)
+        if core and core[0].isalnum() and not (i and reach[i - 1] > s):
+            at = text.index(core, s)
+            out.append((core.translate(_LOWER), at, at + len(core)))
+    return out
+
+
+def mentioned(text: str, spans: list[Span]) -> list[bytes]:
+    return sorted({entity(text, span) for span in spans})
 
 
 def pair_key(c: np.ndarray, t: np.ndarray) -> np.ndarray:
@@ -123,26 +124,25 @@ def disclosures(spark: SparkSession, docs: DataFrame, text: str = "text") -> tup
     def mentions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, text):
-                cs, ts, n = [], [], 0
+                yield pairs_of(0, 0, part.num_rows)
                 for x in texts(part.column(text)).to_pylist():
-                    n += 1
-                    spans = base_spans(x)
-                    for c, near in contexts(x, spans).items() if spans else ():
-                        cs.append(c)
-                        ts.append(None)
-                        some = {w for w, _, _ in near}
-                        cs += [c] * len(some)
-                        ts += [w.encode() for w in some]
-                none = [t is None for t in ts]
-                c, t = hash_bytes(cs), hash_bytes([x or b"" for x in ts])
-                yield pa.RecordBatch.from_pydict({
-                    "c": pa.array([None] + c.view(np.int64).tolist(), pa.int64()), "t": pa.array([None] + [None if z else v for v, z in zip(t.view(np.int64).tolist(), none)], pa.int64()),
-                    "n": pa.array([n] + [1] * len(cs), pa.int64()),
-                })
+                    if spans := base_spans(x):
+                        c, t = (hash_bytes(v).view(np.int64) for v in (mentioned(x, spans), [w.encode() for w in {w for w, _, _ in outside(x, spans)}]))
+                        step = max(1, (1 << 20) // (len(t) + 1))
+                        for k in range(0, len(c), step):
+                            yield pairs_of(c[k : k + step], t)
+
+    def pairs_of(c, t, n: int = 0) -> pa.RecordBatch:
+        """Each entity alone and with each term; or the number of documents."""
+        if n:
+            return pa.RecordBatch.from_pydict({"c": pa.nulls(1, pa.int64()), "t": pa.nulls(1, pa.int64()), "n": pa.array([n], pa.int64())})
+        k = len(t) + 1
+        none = np.tile(np.arange(k) == 0, len(c))
+        return pa.RecordBatch.from_pydict({"c": pa.array(np.repeat(c, k)), "t": pa.array(np.tile(np.r_[np.int64(0), t], len(c)), mask=none), "n": pa.array(np.ones(len(none), np.int64))})
 
     seen = saved(docs.select(text).mapInArrow(mentions, "c long, t long, n long").groupBy("c", "t").agg(F.sum("n").alias("n")), spark, "mentions")
     total = seen.filter("c is null").agg(F.sum("n")).first()[0] or 0
-    pairs = seen.filter(F.col("c").isNotNull() & F.col("t").isNotNull() & (F.col("n") >= SUPPORT))
+    pairs = seen.filter(F.col("c").isNotNull() & F.col("t").isNotNull())
     terms = shared_dir(spark, "terms")
     write_store(pairs.select(F.col("t").alias("key")).distinct().withColumn("one", F.lit(1)), terms, bits)
 
@@ -150,7 +150,14 @@ def disclosures(spark: SparkSession, docs: DataFrame, text: str = "text") -> tup
         store, parts, held = HashStore(terms, bits), [], 0
         for batch in batches:
             for part in slices(batch, text):
-                idx, names, counts = words(part.column(text))
+                with_spans = []
+                for i, x in enumerate(texts(part.column(text)).to_pylist()):
+                    if spans := base_spans(x):
+                        with_spans.append(i)
+                        own = hash_bytes({w.encode() for w, _, _ in outside(x, spans)})
+                        parts.append((own, np.ones(len(own), np.int64)))
+                        held += len(own)
+                idx, names, counts = words(part.filter(pa.array(~np.isin(np.arange(part.num_rows), with_spans))).column(text))
                 bare = [w.strip(_EDGES.encode()) for w in names]
                 key = hash_bytes(bare)
                 found, _ = store.find(key)
@@ -176,7 +183,7 @@ def disclosures(spark: SparkSession, docs: DataFrame, text: str = "text") -> tup
     docs_with = docs.select(text).mapInArrow(frequency, "t long, n long").groupBy("t").agg(F.sum("n").alias("nt"))
     entities = seen.filter("c is not null and t is null").select("c", F.col("n").alias("nc"))
     ic = F.log2(F.lit(float(max(total, 1))) / F.col("nc"))
-    pmi = F.log2(F.col("n") * F.lit(float(max(total, 1))) / (F.col("nc") * F.greatest("nt", "n")))
+    pmi = F.log2(F.col("n") * F.lit(float(max(total, 1))) / (F.col("nc") * (F.col("nt") + SMOOTH)))
     share = pairs.join(entities, "c").join(docs_with, "t").filter(ic > 0).withColumn("share", pmi / ic).filter(F.col("share") >= GENERALISE)
     path = shared_dir(spark, "disclosures")
 
@@ -190,16 +197,17 @@ def disclosures(spark: SparkSession, docs: DataFrame, text: str = "text") -> tup
 
 
 def term_spans(text: str, spans: list[Span], store: HashStore) -> list[tuple[int, int, bool]]:
-    """The disclosing words near the mentions: start, end, and whether to remove them."""
-    near = [(c, w) for c, ws in contexts(text, spans).items() for w in ws]
-    if not near:
+    """The document's disclosing words: start, end, and whether to remove them."""
+    places = outside(text, spans)
+    if not places:
         return []
-    found, got = store.find(pair_key(hash_bytes([c for c, _ in near]), hash_bytes([w[0].encode() for _, w in near])), share=np.float64)
-    out: dict[tuple[int, int], bool] = {}
-    for (_, (_, s, e)), hit, share in zip(near, found, got["share"]):
-        if hit:
-            out[s, e] = out.get((s, e), False) or bool(share >= REMOVE)
-    return [(s, e, r) for (s, e), r in sorted(out.items())]
+    names = sorted({w for w, _, _ in places})
+    t = hash_bytes([w.encode() for w in names])
+    best = np.zeros(len(names))
+    for c in hash_bytes(mentioned(text, spans)):
+        best = np.maximum(best, store.find(pair_key(c, t), share=np.float64)[1]["share"])
+    share = dict(zip(names, best.tolist()))
+    return [(s, e, share[w] >= REMOVE) for w, s, e in places if share[w] > 0]
 
 
 def written(spans: list[Span]) -> str:
