@@ -116,3 +116,15 @@ def test_sql(spark, name):
     cols = sorted(ours.columns)
     assert cols == sorted(theirs.columns)
     assert sorted(map(str, ours[cols].astype(str).values.tolist())) == sorted(map(str, theirs[cols].astype(str).values.tolist()))
+
+
+def test_divisors_of_the_whole_table(spark):
+    data = DATA.replace("0.001", "0.1")
+    rows = registry.queries()["divisors_all"](spark, data).collect()
+    keys = [r.p_partkey for r in spark.read.parquet(f"{data}/part.parquet").select("p_partkey").collect()]
+    found = {n: [] for n in range(max(keys) + 1)}
+    for d in range(2, max(keys) + 1):
+        for n in range(d, max(keys) + 1, d):
+            found[n].append(d)
+    assert sorted((r.p_partkey, r.divisors) for r in rows) == sorted((n, ",".join(map(str, found[n]))) for n in keys)
+    assert len(rows) > 501

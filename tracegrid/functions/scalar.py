@@ -52,8 +52,11 @@ def sanitise(s: Column) -> Column:
 
 
 def divisors(n: Column) -> Column:
-    """Divisors over 1, ascending."""
-    return F.when(n > 1, F.filter(F.sequence(F.lit(2).cast("bigint"), n.cast("bigint")), lambda d: n % d == 0)).otherwise(F.array().cast("array<bigint>"))
+    """Divisors over 1, ascending; those up to the root are tried, the others are their partners."""
+    n, one = n.cast("bigint"), F.lit(1).cast("bigint")
+    low = F.filter(F.sequence(one, F.sqrt(n).cast("bigint") + 1), lambda d: (d * d <= n) & (n % d == 0))
+    both = F.concat(low, F.reverse(F.transform(low, lambda d: F.call_function("div", n, d))))
+    return F.when(n > 1, F.array_except(both, F.array(one))).otherwise(F.array().cast("array<bigint>"))
 
 
 def linear_index(i1: Column, i2: Column, i3: Column, n1: int | Column, n2: int | Column) -> Column:

@@ -321,6 +321,8 @@ query("lenient_int", "SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN o_order
 query("divisors", "SELECT p_partkey, array_to_string(list_filter(range(2, p_partkey + 1), lambda d: p_partkey % d = 0), ',') AS divisors FROM part WHERE p_partkey <= 500")(
     lambda s, d: table(s, d, "part").filter("p_partkey <= 500").select("p_partkey", F.array_join(F.transform(scalar.divisors(F.col("p_partkey")), lambda x: x.cast("string")), ",").alias("divisors"))
 )
+# the whole table, as ``divisors`` and its SQL hold keys up to 500 only; a test compares with brute force
+query("divisors_all")(lambda s, d: table(s, d, "part").select("p_partkey", F.array_join(F.transform(scalar.divisors(F.col("p_partkey")), lambda x: x.cast("string")), ",").alias("divisors")))
 query("last_int", "SELECT c_custkey, CAST(regexp_extract(c_name, '([0-9]+)[^0-9]*$', 1) AS BIGINT) AS v, replace(c_mktsegment || ',x', ',', ';') AS clean FROM customer")(
     lambda s, d: table(s, d, "customer").select("c_custkey", scalar.last_int(F.col("c_name")).alias("v"), scalar.sanitise(F.concat("c_mktsegment", F.lit(",x"))).alias("clean"))
 )
