@@ -63,6 +63,25 @@ def test_embeddings(spark, block, monkeypatch):
     assert embed.near_duplicates(spark, df.limit(0)).count() == 0
 
 
+def test_embeddings_of_many_cells(spark, monkeypatch):
+    """All links are found with 256 cells, near the threshold and with centroids that don't know the pairs."""
+    monkeypatch.setattr(embed, "PER_CELL", 8)
+    rng = np.random.default_rng(3)
+    apart = np.random.default_rng(4).normal(size=(256, 64))
+    apart /= np.linalg.norm(apart, axis=1, keepdims=True)
+    monkeypatch.setattr(embed, "spherical_kmeans", lambda x, k: apart[:k])
+    x = rng.normal(size=(1024, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    side = rng.normal(size=x.shape)
+    side -= (side * x).sum(1, keepdims=True) * x
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    cos = rng.uniform(0.901, 0.96, (1024, 1))
+    x = np.concatenate([x, cos * x + np.sqrt(1 - cos**2) * side])
+    got = embed.near_duplicates(spark, spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")).collect()
+    linked = (x @ x.T >= 0.9) & ~np.eye(len(x), dtype=bool)
+    assert [r.n_links for r in sorted(got)] == linked.sum(1).tolist()
+
+
 def test_components(spark):
     rng = random.Random(1)
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, k) for k in range(101, 160)] + [(7, 7), (None, 3), (5, 4)] + [(rng.randint(200, 400), rng.randint(200, 400)) for _ in range(120)]

@@ -3,13 +3,16 @@ inside each cell, one representative a group.
 
 Exact copies fold to one row first (grouped with partial sums, so a very
 common vector does no harm). Centroids are fitted on at most ``SAMPLE`` rows;
-every vector is put in its ``PROBES`` nearest cells. A cell of more than BLOCK
-vectors is cut in blocks, and each pair of blocks is a task of bounded size.
-A pair of vectors counts in the smallest cell that both are in, so it counts
-once. Link counts and the blocks' spanning forests leave a task, never pairs.
+every vector has its nearest one's cell as home. If x and y are within an angle
+a, x's home is within 2 a + angle(y, y's own centroid) of y (triangle inequality,
+as no centroid is nearer to x than its home's). So a vector visits each cell of
+that reach, if its number is below its home's, and a pair counts once, in the
+lower home of the two. A cell of more than BLOCK vectors is cut in blocks, and
+each pair of blocks is a task of bounded size. Link counts and the blocks'
+spanning forests leave a task, never pairs.
 
-Every link reported is exact (double precision); a link is missed only if the
-two vectors share none of their cells. The tests measure recall.
+No link is missed and every link reported is exact (double precision). Vectors
+without clusters visit most lower cells, so their cost is that of all pairs.
 
 Null, empty and zero vectors, and those with null or non-finite components,
 link with nothing. Vectors of another length than the commonest are compared
@@ -33,7 +36,6 @@ from .components import Union, components
 SAMPLE = 32_768
 PER_CELL = 256
 CELLS = 4096
-PROBES = 3
 BLOCK = 1024
 
 
@@ -81,18 +83,21 @@ def links(spark: SparkSession, df: DataFrame, threshold: float = 0.9, id: str =
         for b in batches:
             raw = b.column("raw").to_pylist()
             size = np.array([len(r) for r in raw])
-            cells: list = [None] * len(raw)
+            row, cell, home = [], [], []
             for d in np.unique(size):
                 at, c = np.flatnonzero(size == d), shared.value[int(d)]
-                p = min(PROBES, len(c))
-                near = unit_rows([raw[i] for i in at]) @ c.T
-                top = np.sort(np.argpartition(-near, p - 1, axis=1)[:, :p], axis=1)
-                for i, t in zip(at, top):
-                    cells[i] = [f"{d}.{k:05d}" for k in t]
-            yield pa.RecordBatch.from_arrays([b.column("gid"), b.column("m"), b.column("raw"), pa.array(cells, pa.list_(pa.string()))], names=["gid", "m", "raw", "cells"])
-
-    placed = groups.select("gid", "m", "raw").mapInArrow(assign, "gid long, m long, raw binary, cells array<string>")
-    placed = saved(placed.withColumn("cell", F.explode("cells")), spark, "cells")
+                far = np.arccos(np.clip(unit_rows([raw[i] for i in at]) @ (c / np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-300)).T, -1, 1))
+                own = far.argmin(axis=1)
+                reach = far[np.arange(len(at)), own] + 2 * np.arccos(np.clip(threshold, -1, 1)) + 1e-6
+                i, k = np.nonzero((far <= reach[:, None]) & (np.arange(len(c)) <= own[:, None]))
+                row += at[i].tolist()
+                cell += [f"{d}.{x:05d}" for x in k.tolist()]
+                home += (k == own[i]).tolist()
+            for s in range(0, len(row), 4096):
+                take = pa.array(row[s : s + 4096], pa.int64())
+                yield pa.RecordBatch.from_arrays([*(b.column(x).take(take) for x in ("gid", "m", "raw")), pa.array(cell[s : s + 4096], pa.string()), pa.array(home[s : s + 4096], pa.bool_())], names=["gid", "m", "raw", "cell", "home"])
+
+    placed = saved(groups.select("gid", "m", "raw").mapInArrow(assign, "gid long, m long, raw binary, cell string, home boolean"), spark, "cells")
     blocks = placed.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("nb"))
     # each row goes to the nb pairs of blocks that its own block is in
     own = F.pmod(F.xxhash64("gid"), F.col("nb")).cast("int")
@@ -103,23 +108,22 @@ def links(spark: SparkSession, df: DataFrame, threshold: float = 0.9, id: str =
     )
 
     def compare(key, part: pd.DataFrame) -> pd.DataFrame:
-        cell, i, j = key[0], int(key[1]), int(key[2])
+        i, j = int(key[1]), int(key[2])
         part = part.sort_values("gid", kind="stable", ignore_index=True)
         x, gid, m = unit_rows(list(part.raw)), part.gid.to_numpy(), part.m.to_numpy()
         mine = part.own.to_numpy()
-        sets = [set(c) for c in part.cells]
+        home = part.home.to_numpy(bool)
         count, forest = np.zeros(len(part), np.int64), Union(len(part))
         for s in range(0, len(part), BLOCK):
             rows_, cols = np.nonzero(x[s : s + BLOCK] @ x.T >= threshold)
             rows_ += s
-            keep = rows_ < cols
+            keep = (rows_ < cols) & (home[rows_] | home[cols])
             if i != j:
                 keep &= mine[rows_] != mine[cols]
             for a, b in zip(rows_[keep].tolist(), cols[keep].tolist()):
-                if min(sets[a] & sets[b]) == cell:
-                    count[a] += m[b]
-                    count[b] += m[a]
-                    forest.join(a, b)
+                count[a] += m[b]
+                count[b] += m[a]
+                forest.join(a, b)
         root = np.array([gid[forest.root(k)] for k in range(len(part))], np.int64)
         found = count > 0
         return pd.DataFrame({"gid": gid[found], "n": count[found], "root": root[found]})
