@@ -2,16 +2,19 @@
 higher-order functions over a literal rank map; decoding concatenates the
 binary pieces of the ids.
 
-1. Python workers cut each text at white space and cut the distinct runs by the
-   tokenizer's pattern; only distinct pieces leave a task.
+1. Python workers cut each text where the tokenizer's pattern is sure to cut (at
+   single spaces and line breaks), fold equal chunks, and cut the distinct ones
+   by the pattern; only distinct pieces leave a task.
 2. Spark folds each distinct piece: an array of its bytes loses the pair of
    lowest rank step by step until no pair has a rank (``encode_pieces``).
 3. The piece -> ids table becomes a hash store on the shared folder, which the
-   workers map to write out each document's ids. No text is ever shuffled, and
-   nothing that grows with the corpus is broadcast.
+   workers map to write out each document's ids, gathered chunk by chunk in
+   NumPy. No text is ever shuffled, and nothing that grows with the corpus is
+   broadcast.
 
 Nulls and empty texts have no ids; the digests are then those of no bytes.
-Repeated rows each get their own result. Columns beyond ``id`` and ``text`` are
+Repeated rows each get their own result; an empty table gives no rows. Of pairs
+with the lowest rank the leftmost merges first. Texts may be of any length. Columns beyond ``id`` and ``text`` are
 not read, so they may have any names. Pieces may have any length: those over
 ``LONG`` bytes merge all places of a pair in one step.
 """
@@ -21,7 +24,6 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,18 +32,19 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import HashStore, bucket_bits, hash_bytes, saved, scan_bytes, shared_dir, slices, texts, write_store
+from .common import HashStore, bucket_bits, hash_bytes, raw_texts, saved, scan_bytes, shared_dir, slices, write_store
 
-#: Fixed value: the characters with Unicode's White_Space property.
-SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-#: A run of non-spaces with the one space before it, or the spaces between runs.
-RUN = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]")
+#: ASCII characters that are visible, and lead bytes of UTF-8 that begin no white space.
+SEEN = (np.arange(256) > 32) & (np.arange(256) < 127)
+BEGINS = SEEN | ((np.arange(256) > 0xC2) & ~np.isin(np.arange(256), [0xE1, 0xE2, 0xE3]))
 ID = 17  # bits of a token id
 MASK = (1 << ID) - 1
 SLOTS = 1 << 17
 NONE = 1 << ID  # the rank of a pair that has none
 LONG = 1024
-CACHE = 200_000
+CACHE = 200_000  # chunks of up to SHORT bytes that a worker keeps at hand
+SHORT = 64
+SLICE = 4 << 20
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -153,22 +156,58 @@ def heap_encode(piece: bytes, ranks: dict[bytes, int], pairs: dict[tuple[int, in
     return [x for x in ids if x >= 0]
 
 
+def cut_chunks(col: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """The chunks of all texts in order, and each text's number of them.
+
+    Cut is before a space that a visible character follows, and on both sides of
+    a line break between two visible ones: the pattern has a boundary there, and
+    what it finds on one side does not depend on the other.
+    """
+    raw, ends = raw_texts(col)
+    start = np.zeros(len(raw) + 1, bool)
+    if len(raw) > 2:
+        start[:-2] = (raw[:-1] == 32) & BEGINS[raw[1:]]
+        line = 1 + np.flatnonzero((raw[1:-1] == 10) & SEEN[raw[:-2]] & BEGINS[raw[2:]])
+        start[line] = start[line + 1] = True
+    start[ends[1:-1][ends[1:-1] > 0] - 1] &= False  # the next character is another text's
+    start[ends] = True
+    first = np.flatnonzero(start)  # the last one is the end
+    offsets = pa.py_buffer(np.ascontiguousarray(first, np.int64))
+    chunks = pa.Array.from_buffers(pa.large_binary(), len(first) - 1, [None, offsets, pa.py_buffer(np.ascontiguousarray(raw))])
+    return chunks.dictionary_encode(), np.diff(np.searchsorted(first, ends))
+
+
+def cut_pieces(chunks: list[bytes], find) -> list[list[str]]:
+    """The pieces of each chunk. Those that begin with a space are cut in one go."""
+    out: list[list[str]] = [[]] * len(chunks)
+    plain = []
+    for i, c in enumerate(chunks):
+        if c[:1] == b" " and len(c) > 1 and BEGINS[c[1]]:
+            plain.append(i)
+        else:
+            out[i] = find(c.decode())
+    strings = [chunks[i].decode() for i in plain]
+    pieces = find("".join(strings))
+    ends = np.searchsorted(np.cumsum([len(p) for p in pieces]), np.cumsum([len(x) for x in strings])) + 1
+    s = 0
+    for i, e in zip(plain, ends.tolist()):
+        out[i], s = pieces[s:e], e
+    return out
+
+
 def distinct_pieces(docs: DataFrame, text: str, pattern: str) -> DataFrame:
     """The distinct pieces of all texts, as ``piece binary``."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find, seen_runs, seen = piece_pattern(pattern).findall, set(), set()
+        find, seen_chunks, seen = piece_pattern(pattern).findall, set(), set()
         for batch in batches:
-            for part in slices(batch, text):
-                runs: set[str] = set()
-                for t in texts(part.column(text)).to_pylist():
-                    runs.update(RUN.findall(t))
-                runs -= seen_runs
-                seen_runs |= runs
-                new = {p for run in runs for p in find(run)} - seen
-                seen |= new
-                if len(seen_runs) > CACHE:
-                    seen_runs, seen = set(), set()
+            for part in slices(batch, text, SLICE):
+                chunks = set(cut_chunks(part.column(text))[0].dictionary.to_pylist()) - seen_chunks
+                seen_chunks.update(c for c in chunks if len(c) <= SHORT)
+                new = {p for ps in cut_pieces(list(chunks), find) for p in ps} - seen
+                seen.update(p for p in new if len(p) <= SHORT)
+                if len(seen_chunks) > CACHE:
+                    seen_chunks, seen = set(), set()
                 yield pa.RecordBatch.from_pydict({"piece": pa.array([p.encode() for p in new], pa.binary())})
 
     return docs.select(text).mapInArrow(cut, "piece binary").distinct()
@@ -206,16 +245,14 @@ def piece_store(spark: SparkSession, docs: DataFrame, text: str, rank_path: str,
 
 
 class Encoder:
-    """Ids of texts by a piece store, with the runs met lately kept at hand."""
+    """Ids of texts by a piece store, with the chunks met lately kept at hand."""
 
     def __init__(self, path: str, bits: int, pattern: str):
-        self.store, self.find, self.runs = HashStore(path, bits), piece_pattern(pattern).findall, {}
+        self.store, self.find, self.near = HashStore(path, bits), piece_pattern(pattern).findall, {}
 
-    def learn(self, runs: set[str]) -> None:
-        new = [r for r in runs if r not in self.runs]
-        if len(self.runs) + len(new) > CACHE:
-            self.runs, new = {}, list(runs)
-        cut = [self.find(r) for r in new]
+    def learn(self, chunks: list[bytes]) -> list[bytes]:
+        """The chunks' ids."""
+        cut = cut_pieces(chunks, self.find)
         pieces = list({p for ps in cut for p in ps})
         raw = [p.encode() for p in pieces]
         ids = {}
@@ -224,18 +261,25 @@ class Encoder:
             if got[4 : 4 + size] != own:
                 raise ValueError("two pieces share a 64-bit hash")
             ids[p] = got[4 + size :]
-        self.runs.update(zip(new, (b"".join([ids[p] for p in ps]) for ps in cut)))
-
-    def __call__(self, texts_: list[str]) -> list[bytes]:
-        cut = [RUN.findall(t) for t in texts_]
-        self.learn(set().union(*cut))
-        get = self.runs.__getitem__
-        return [b"".join(map(get, runs)) for runs in cut]
-
-
-def decode_ids(ids: bytes, vocabulary: list[bytes]) -> bytes:
-    """The bytes that little-endian ids stand for."""
-    return b"".join(map(vocabulary.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+        return [ids[ps[0]] if len(ps) == 1 else b"".join([ids[p] for p in ps]) for ps in cut]
+
+    def __call__(self, col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, and the places where texts begin and end."""
+        chunks, counts = cut_chunks(col)
+        names = chunks.dictionary.to_pylist()
+        new = [c for c in names if c not in self.near]
+        got = dict(zip(new, self.learn(new)))
+        blobs = [self.near[c] if c in self.near else got[c] for c in names]
+        if len(self.near) + len(new) > CACHE:
+            self.near = {}
+        self.near.update((c, x) for c, x in got.items() if len(c) <= SHORT)
+        size = np.fromiter(map(len, blobs), np.int64, len(blobs)) // 4
+        flat, first = np.frombuffer(b"".join(blobs), "<u4"), np.cumsum(size) - size
+        which = np.asarray(chunks.indices)
+        n = size[which]
+        ends = np.r_[0, np.cumsum(n)]
+        ids = flat[np.repeat(first[which] - ends[:-1], n) + np.arange(ends[-1])]
+        return ids, ends[np.r_[0, np.cumsum(counts)]]
 
 
 def encode(spark: SparkSession, docs: DataFrame, rank_path: str, pattern: str, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -248,6 +292,11 @@ def encode_digests(spark: SparkSession, docs: DataFrame, rank_path: str, pattern
     return _encoded(spark, docs, rank_path, pattern, id, text, digests=True)
 
 
+def _digests(data: memoryview, ends: np.ndarray) -> list[str]:
+    ends = ends.tolist()
+    return [hashlib.sha256(data[s:e]).hexdigest() for s, e in zip(ends, ends[1:])]
+
+
 def _encoded(spark, docs, rank_path, pattern, id, text, digests):
     path, bits = piece_store(spark, docs, text, rank_path, pattern)
     ranks = load_ranks(rank_path)
@@ -257,20 +306,21 @@ def _encoded(spark, docs, rank_path, pattern, id, text, digests):
     vocabulary = spark.sparkContext.broadcast(vocabulary)  # of the tokenizer's fixed size
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, names = Encoder(path, bits, pattern), vocabulary.value
+        encoder, names = Encoder(path, bits, pattern), pa.array(vocabulary.value, pa.binary())
         for batch in batches:
-            for part in slices(batch, text):
-                ids = encoder(texts(part.column(text)).to_pylist())
-                own = part.column(id)
+            for part in slices(batch, text, SLICE):
+                ids, ends = encoder(part.column(text))
                 if digests:
+                    decoded = names.take(pa.array(ids))  # its bytes stand in one buffer
+                    at = np.frombuffer(decoded.buffers()[1], np.int32)[: len(ids) + 1][ends] if len(ids) else ends
                     new = {
-                        "n_tokens": pa.array([len(x) // 4 for x in ids], pa.int64()),
-                        "ids_sha256": [hashlib.sha256(x).hexdigest() for x in ids],
-                        "decoded_sha256": [hashlib.sha256(decode_ids(x, names)).hexdigest() for x in ids],
+                        "n_tokens": pa.array(np.diff(ends)),
+                        "ids_sha256": _digests(memoryview(ids).cast("B"), 4 * ends),
+                        "decoded_sha256": _digests(memoryview(decoded.buffers()[2] or b""), at),
                     }
                 else:
-                    new = {"ids": pa.array([np.frombuffer(x, "<u4").astype(np.int32) for x in ids], pa.list_(pa.int32()))}
-                yield pa.RecordBatch.from_pydict({id: own, **new})
+                    new = {"ids": pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids.astype(np.int32)))}
+                yield pa.RecordBatch.from_pydict({id: part.column(id), **new})
 
     kind = dict(docs.dtypes)[id]
     out = f"`{id}` {kind}, " + ("n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>")

@@ -9,9 +9,12 @@ lookup table may be far larger than a worker's memory and is never broadcast.
 from __future__ import annotations
 
 import math
+import mmap
 import os
+import shutil
 import tempfile
 import uuid
+from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,11 +33,14 @@ U64 = np.uint64
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder under spark.checkpoint.dir, as a path that workers can open.
 
-    Only where that setting is absent (local tests) a temporary folder is set.
     Stores are memory-mapped, so the folder has to be mounted on every node.
+    Without that setting a local master gets a temporary folder; a cluster's
+    nodes share none, so there it is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all nodes share")
         root = "file://" + tempfile.mkdtemp(prefix="tracegrid-")
         spark.conf.set("spark.checkpoint.dir", root)
     if "://" in root or root.startswith("file:"):
@@ -54,6 +60,13 @@ def saved(df: DataFrame, spark: SparkSession, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove(*gone: str | DataFrame) -> None:
+    """Deletes stores and saved tables of ``shared_dir`` that nothing reads any more."""
+    for x in gone:
+        for path in [x] if isinstance(x, str) else {os.path.dirname(f) for f in x.inputFiles()}:
+            shutil.rmtree(path.removeprefix("file://").removeprefix("file:"), ignore_errors=True)
+
+
 def scan_bytes(df: DataFrame) -> int:
     """Size of what ``df`` scans, as the optimizer knows it; 64 MB for rows whose size it doesn't know."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
@@ -62,7 +75,7 @@ def scan_bytes(df: DataFrame) -> int:
 
 def bucket_bits(size: int, per_bucket: int = 8 << 20) -> int:
     """Bits that name a bucket so that each holds its share of ``size`` bytes."""
-    return min(14, max(6, math.ceil(math.log2(max(1, size) / per_bucket))))
+    return min(20, max(6, math.ceil(math.log2(max(1, size) / per_bucket))))
 
 
 # ---------------------------------------------------------------- hashing
@@ -119,6 +132,50 @@ def words(col: pa.Array) -> tuple[np.ndarray, list[bytes], np.ndarray]:
     return idx, names, counts
 
 
+#: Odd 64-bit constants: of byte values (A-Z as a-z), and the base of the sums over places.
+_OF_BYTE = np.random.default_rng(20).integers(1, 2**63, 256, dtype=U64)[[i + 32 * (65 <= i <= 90) for i in range(256)]] * U64(2) + U64(1)
+_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+_BASE = 0x9E3779B97F4A7C15
+_powers = {c: np.ones(1, U64) for c in (_BASE, pow(_BASE, -1, 1 << 64))}
+
+
+def _power(base: int, n: int) -> np.ndarray:
+    if len(_powers[base]) < n:
+        _powers[base] = np.cumprod(np.r_[U64(1), np.full(max(n, 1 << 21), base, U64)], dtype=U64)
+    return _powers[base][:n]
+
+
+def raw_texts(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All texts' bytes in one array, and the places where texts begin and end."""
+    got = texts(col)
+    ends = np.frombuffer(got.buffers()[1], np.int64)[got.offset : got.offset + len(got) + 1] if len(got) else np.zeros(1, np.int64)
+    data = got.buffers()[2] if len(got) else None
+    raw = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]] if data is not None else np.empty(0, np.uint8)
+    return raw, ends - ends[0]
+
+
+def span_codes(raw: np.ndarray, first: np.ndarray, end: np.ndarray, of_byte: np.ndarray = _OF_BYTE) -> np.ndarray:
+    """A 64-bit hash of each span of bytes, by differences of one running sum."""
+    n = len(raw)
+    sums = np.zeros(n + 1, U64)
+    np.cumsum(of_byte[raw] * _power(_BASE, n), out=sums[1:])
+    return mix((sums[end] - sums[first]) * _power(pow(_BASE, -1, 1 << 64), n + 1)[first] + (end - first).astype(U64))
+
+
+def word_codes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """A hash of each A-Z lower-cased word ``[^\\x20\\x09-\\x0D]+`` in order, and each text's number of words."""
+    raw, ends = raw_texts(col)
+    if not len(raw):
+        return np.empty(0, U64), np.zeros(len(col), np.int64)
+    inside = np.concatenate([[False], ~_SPACE[raw], [False]])
+    edge = np.flatnonzero(inside[1:] != inside[:-1])
+    seam = np.unique(ends[1:-1])
+    seam = seam[inside[seam] & inside[seam + 1]]  # here one text's word ends and the next one's begins
+    edge = np.sort(np.concatenate([edge, seam, seam]))
+    first, end = edge[0::2], edge[1::2]
+    return span_codes(raw, first, end), np.diff(np.searchsorted(first, ends))
+
+
 def slices(batch: pa.RecordBatch, column: str, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """The batch in runs of rows whose ``column`` holds about ``limit`` bytes."""
     if not batch.num_rows:
@@ -152,11 +209,19 @@ def put_bucket(path: str, bucket: int, columns: dict[str, np.ndarray], blob: lis
         _put(f"{path}/{bucket:05d}.blob", lambda f: f.writelines(blob))
 
 
+def _values(col: pa.ChunkedArray) -> np.ndarray:
+    if not pa.types.is_binary(col.type):
+        return col.to_numpy()
+    raw = col.to_pylist()
+    return np.frombuffer(b"".join(raw), np.dtype((np.void, len(raw[0]))))
+
+
 def write_store(df: DataFrame, path: str, bits: int, blob: str | None = None) -> int:
-    """Writes ``df(key long, values...)`` as a store; keys must be distinct. Gives the rows.
+    """Writes ``df(key long, values...)`` as a store. Gives the rows.
 
     A bucket is the top ``bits`` bits of the key; the keys are hashes, so the
-    buckets are of one size whatever the data's skew.
+    buckets are of one size whatever the data's skew. Of rows with one key, one
+    stays (they have to be alike). Other binary columns have one width.
     """
     names = [c for c in df.columns if c not in ("key", blob)]
 
@@ -165,9 +230,10 @@ def write_store(df: DataFrame, path: str, bits: int, blob: str | None = None) ->
         if table is not None and table.num_rows:
             key = table.column("key").to_numpy().view(U64)
             order = np.argsort(key, kind="stable")
+            order = order[np.r_[True, key[order[1:]] != key[order[:-1]]]]
             key = key[order]
             where = (key >> U64(64 - bits)).astype(np.int64)
-            cols = {c: table.column(c).to_numpy()[order] for c in names}
+            cols = {c: _values(table.column(c))[order] for c in names}
             raw = table.column(blob).take(pa.array(order)).to_pylist() if blob else None
             for b in np.unique(where):
                 s = slice(*np.searchsorted(where, [b, b + 1]))
@@ -179,10 +245,12 @@ def write_store(df: DataFrame, path: str, bits: int, blob: str | None = None) ->
 
 
 class HashStore:
-    """Reads a store; buckets are mapped when first asked for."""
+    """Reads a store; buckets are mapped when first asked for, the lately used OPEN of them stay so."""
+
+    OPEN = 512  # files, as a process may have 1,024
 
     def __init__(self, path: str, bits: int):
-        self.path, self.bits, self.open = path, bits, {}
+        self.path, self.bits, self.open = path, bits, OrderedDict()
 
     def column(self, bucket: int, name: str) -> np.ndarray | None:
         at = (bucket, name)
@@ -190,9 +258,14 @@ class HashStore:
             file = f"{self.path}/{bucket:05d}.{name}"
             if name == "blob":
                 size = os.path.getsize(file) if os.path.exists(file) else 0
-                self.open[at] = np.memmap(file, np.uint8, "r") if size else np.empty(0, np.uint8)
+                with open(file if size else os.devnull, "rb") as f:
+                    self.open[at] = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ) if size else b""
             else:
                 self.open[at] = np.load(f"{file}.npy", mmap_mode="r") if os.path.exists(f"{file}.npy") else None
+            if len(self.open) > self.OPEN:
+                self.open.popitem(last=False)
+        else:
+            self.open.move_to_end(at)
         return self.open[at]
 
     def _runs(self, keys: np.ndarray):
@@ -224,8 +297,8 @@ class HashStore:
         out: list[bytes | None] = [None] * len(keys)
         for b, rows, at in self._runs(keys):
             ends, raw = self.column(b, "ends"), self.column(b, "blob")
-            for r, a in zip(rows.tolist(), at.tolist()):
-                out[r] = raw[ends[a] : ends[a + 1]].tobytes()
+            for r, s, e in zip(rows.tolist(), ends[at].tolist(), ends[at + 1].tolist()):
+                out[r] = raw[s:e]
         return out
 
 
