@@ -1,50 +1,57 @@
 """Embedding near-duplicates: spherical k-means cells, blocked cosine products
 inside each cell, one representative a group.
 
-Exact copies fold to one row first (grouped with partial sums, so a very
-common vector does no harm). Centroids are fitted on at most ``SAMPLE`` rows;
-every vector has its nearest one's cell as home. If x and y are within an angle
-a, x's home is within 2 a + angle(y, y's own centroid) of y (triangle inequality,
-as no centroid is nearer to x than its home's). So a vector visits each cell of
-that reach, if its number is below its home's, and a pair counts once, in the
-lower home of the two. A cell of more than BLOCK vectors is cut in blocks, and
-each pair of blocks is a task of bounded size. Link counts and the blocks'
-spanning forests leave a task, never pairs.
-
-No link is missed and every link reported is exact (double precision). Vectors
-without clusters visit most lower cells, so their cost is that of all pairs.
+Vectors are scaled to unit length, and equal ones fold to one row first (grouped
+with partial sums, so a very common vector does no harm). Centroids are fitted
+on at most ``SAMPLE`` rows; every vector has its nearest one's cell as home and
+is compared with all vectors at home there. It also visits other cells: a
+partner at the threshold is ``cos * y + sin * z`` with z a unit vector at right
+angles to y, and it is at home in another cell only if z leans towards that
+centroid by a share of the two centroids' distance. A vector visits each cell
+for which that share is at most ``REACH / sqrt(dimensions - 1)``, REACH standard
+deviations of a random z. Two vectors meet if either visits the other's home, so
+both have to fail for a link to be missed (recall in the README; with
+``reach=None`` the share is 1, every z's bound, and no link can be missed). Of
+two meetings only that in the lower home counts.
+
+A home of more than BLOCK vectors is cut in blocks. A block is one file on the
+shared folder, written by one task, and what leaves that task is a list a
+visited cell. An item of work is a block and the visitors from another one, or
+two blocks of one home; it holds two blocks in memory, whatever is hot. Link
+counts and spanning edges leave a task, never pairs, and vectors are shuffled
+once. Every link reported is exact (double precision).
 
 Null, empty and zero vectors, and those with null or non-finite components,
-link with nothing. Vectors of another length than the commonest are compared
-with vectors of their own length only. Repeated ids count as rows of their
-own. An empty table gives no rows. Extra columns are not read.
+link with nothing. Vectors of different lengths are not compared. Repeated ids
+count as rows of their own, so do ties; of a group the smallest id names it. An
+empty table gives no rows. Extra columns are not read.
 """
 
 from __future__ import annotations
 
+from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import saved
-from .components import Union, components
+from .common import _put, remove, saved, shared_dir
+from .components import components
 
 SAMPLE = 32_768
 PER_CELL = 256
 CELLS = 4096
 BLOCK = 1024
+REACH = 2.0
 
 
 def unit_rows(raw: list[bytes]) -> np.ndarray:
-    x = np.frombuffer(b"".join(raw), np.float64).reshape(len(raw), -1)
-    return x / np.linalg.norm(x, axis=1, keepdims=True)
+    return np.frombuffer(b"".join(raw), np.float64).reshape(len(raw), -1)
 
 
-def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 10, seed: int = 7) -> np.ndarray:
+def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 5, seed: int = 7) -> np.ndarray:
     """k unit centroids of unit rows; an empty cell keeps its centroid."""
     c = x[np.random.default_rng(seed).choice(len(x), k, replace=False)]
     for _ in range(rounds):
@@ -56,87 +63,190 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 10, seed: int = 7) ->
     return c
 
 
+def visits(x: np.ndarray, c: np.ndarray, threshold: float, reach: float | None) -> tuple[np.ndarray, np.ndarray]:
+    """The home of each row, and whether it visits each cell (its home: yes)."""
+    near = x @ c.T
+    home = near.argmax(axis=1)
+    rise = np.sqrt(max(0.0, 1 - threshold**2)) / threshold if threshold > 0 else np.inf
+    share = 1.0 if reach is None or x.shape[1] < 2 else min(1.0, reach / np.sqrt(x.shape[1] - 1))
+    apart = np.sqrt(np.maximum(2 - 2 * (c[home] @ c.T), 0))
+    go = near.max(axis=1, keepdims=True) - near <= rise * share * apart + 1e-9 if np.isfinite(rise) else np.ones(near.shape, bool)
+    go[np.arange(len(x)), home] = True
+    return home, go
+
+
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, raw): components as doubles, null where the vector can't link."""
+    """(id, raw): unit vectors as doubles, null where the vector can't link."""
     for b in batches:
         raw = []
         for v in b.column(1).to_pylist():
             x = np.array(v, np.float64) if v and None not in v else np.empty(0)
-            good = x.size and np.isfinite(x).all() and np.isfinite(n := np.linalg.norm(x)) and n > 0
-            raw.append((x + 0.0).tobytes() if good else None)
+            if x.size and np.isfinite(x).all() and (top := np.abs(x).max()) > 0:
+                x = x / top  # squares can neither overflow nor vanish
+                raw.append((x / np.linalg.norm(x) + 0.0).tobytes())
+            else:
+                raw.append(None)
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(raw, pa.binary())], names=["id", "raw"])
 
 
-def links(spark: SparkSession, df: DataFrame, threshold: float = 0.9, id: str = "vec_id", vector: str = "embedding") -> DataFrame:
+class Blocks:
+    """Block files, the lately used kept: (gid, copies, vectors, visited cells, their ends, their visitors)."""
+
+    def __init__(self, path: str):
+        self.path, self.near = path, OrderedDict()
+
+    def __call__(self, cell: int, block: int) -> tuple[np.ndarray, ...]:
+        at = (cell, block)
+        if at not in self.near:
+            with open(f"{self.path}/{cell}.{block}", "rb") as f:
+                self.near[at] = tuple(np.load(f) for _ in range(6))
+            if len(self.near) > 64:
+                self.near.popitem(last=False)
+        self.near.move_to_end(at)
+        return self.near[at]
+
+
+def _write_blocks(path: str):
+    """Writes the task's blocks and gives (cell, home, hblock, who): the visitors of each cell from each block."""
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = list(batches)
+        if not got:
+            return
+        table = pa.Table.from_batches(got)
+        home, block, gid, m = (table.column(c).to_numpy() for c in ("home", "block", "gid", "m"))
+        order = np.lexsort((gid, block, home))
+        starts = np.flatnonzero(np.r_[True, (home[order][1:] != home[order][:-1]) | (block[order][1:] != block[order][:-1])])
+        for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(order)]):
+            at = order[s:e]
+            rows = table.select(["raw", "visits"]).take(pa.array(at))
+            cells = [np.frombuffer(v, np.int64) for v in rows.column("visits").to_pylist()]
+            who, cells = np.repeat(np.arange(len(at)), [len(c) for c in cells]), np.concatenate(cells)
+            by_cell = np.argsort(cells, kind="stable")
+            who, cells = who[by_cell].astype(np.int32), cells[by_cell]
+            first = np.flatnonzero(np.r_[True, cells[1:] != cells[:-1]][: len(cells)])
+            ends = np.r_[first, len(cells)]
+            parts = gid[at], m[at], unit_rows(rows.column("raw").to_pylist()), cells[first], ends, who
+            _put(f"{path}/{home[at[0]]}.{block[at[0]]}", lambda f, parts=parts: [np.save(f, x) for x in parts])
+            n = len(first)
+            yield pa.RecordBatch.from_pydict({"cell": pa.array(cells[first]), "home": pa.array(np.full(n, home[at[0]])), "hblock": pa.array(np.full(n, block[at[0]])), "who": pa.array([who[a:b].tobytes() for a, b in zip(ends.tolist(), ends[1:].tolist())], pa.binary())})
+
+    return write
+
+
+def labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest number of each one's component among 0..n-1 joined by pairs."""
+    label = np.arange(n)
+    while True:
+        new = label.copy()
+        np.minimum.at(new, a, label[b])
+        np.minimum.at(new, b, label[a])
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
+def _compare(path: str, threshold: float):
+    """Works through items; gives (gid, n, root) with link counts and spanning edges, added up in the task."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks = Blocks(path)
+        counts: list[tuple[np.ndarray, np.ndarray]] = []
+        edges: list[np.ndarray] = []
+
+        def flush() -> pa.RecordBatch:
+            gid, at = np.unique(np.concatenate([g for g, _ in counts]), return_inverse=True)
+            n = np.bincount(at, np.concatenate([c for _, c in counts])).astype(np.int64)
+            own = np.unique(np.concatenate(edges), axis=0)
+            counts.clear(), edges.clear()
+            zero = pa.nulls(len(own), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.concat_arrays([pa.array(gid), pa.array(own[:, 0])]), pa.concat_arrays([pa.array(n), zero]), pa.concat_arrays([pa.nulls(len(gid), pa.int64()), pa.array(own[:, 1])])], names=["gid", "n", "root"])
+
+        for batch in batches:
+            cols = (batch.column(c).to_pylist() for c in ("cell", "block", "home", "hblock", "who"))
+            for cell, block, home, hblock, who in zip(*cols):
+                gid, m, x, to, ends, visitors = blocks(cell, block)
+                gid2, m2, y, *_ = blocks(home, hblock)
+                if who is not None:
+                    who = np.frombuffer(who, np.int32)
+                    gid2, m2, y = gid2[who], m2[who], y[who]
+                a, b = np.nonzero(x @ y.T >= threshold)
+                if who is None and block == hblock:
+                    a, b = a[a < b], b[a < b]
+                elif cell > home and len(a):  # those that visit that home met there
+                    k = int(np.searchsorted(to, home))
+                    if k < len(to) and to[k] == home:
+                        met = np.zeros(len(gid), bool)
+                        met[visitors[ends[k] : ends[k + 1]]] = True
+                        a, b = a[~met[a]], b[~met[a]]
+                if not len(a):
+                    continue
+                n, n2 = np.bincount(a, m2[b], len(gid)), np.bincount(b, m[a], len(gid2))
+                counts += [(gid[n > 0], n[n > 0]), (gid2[n2 > 0], n2[n2 > 0])]
+                names = np.concatenate([gid, gid2])
+                label = labels(len(names), a, b + len(gid))
+                far = np.flatnonzero(label != np.arange(len(label)))
+                edges.append(np.stack([names[far], names[label[far]]], axis=1))
+                if sum(map(len, edges)) > 1 << 18:
+                    yield flush()
+        if counts:
+            yield flush()
+
+    return work
+
+
+def links(spark: SparkSession, df: DataFrame, threshold: float = 0.9, id: str = "vec_id", vector: str = "embedding", reach: float | None = REACH) -> DataFrame:
     """(id, n_links, component_id) of each row of ``df``."""
     rows = saved(df.select(F.col(id).cast("long").alias("id"), vector).mapInArrow(_packed, "id long, raw binary").withColumn("copy", F.sha2("raw", 256)), spark, "vectors")
-    groups = saved(rows.filter("raw is not null").groupBy("copy").agg(F.min("id").alias("gid"), F.count("*").alias("m"), F.first("raw").alias("raw")), spark, "copies")
+    folded = rows.filter("raw is not null").groupBy("copy").agg(F.min("id").alias("least"), F.count("*").alias("m"), F.first("raw").alias("raw"))
+    groups = saved(folded.withColumn("gid", F.monotonically_increasing_id()), spark, "copies")  # ids may be null or repeated
     centroids: dict[int, np.ndarray] = {}
-    lengths = [(r.d, r.n) for r in groups.groupBy(F.length("raw").alias("d")).agg(F.count("*").alias("n")).collect()]
-    for d, n in lengths:
-        sample = groups.filter(F.length("raw") == d).orderBy(F.xxhash64("copy")).limit(SAMPLE).select("raw").toPandas()["raw"]
-        x = unit_rows(list(sample))
-        centroids[d] = spherical_kmeans(x, max(1, min(CELLS, len(x) // 8, n // PER_CELL)))
-    shared = spark.sparkContext.broadcast(centroids)  # at most CELLS centroids a vector length
+    for r in groups.groupBy(F.length("raw").alias("d")).agg(F.count("*").alias("n")).filter(F.col("n") >= 2 * PER_CELL).collect():
+        sample = groups.filter(F.length("raw") == r.d).orderBy(F.xxhash64("copy")).limit(SAMPLE).select("raw").toPandas()["raw"]
+        centroids[r.d] = spherical_kmeans(x := unit_rows(list(sample)), max(1, min(CELLS, len(x) // 8, r.n // PER_CELL)))
+    shared = spark.sparkContext.broadcast(centroids)  # at most CELLS centroids a common vector length
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            raw = b.column("raw").to_pylist()
-            size = np.array([len(r) for r in raw])
-            row, cell, home = [], [], []
-            for d in np.unique(size):
-                at, c = np.flatnonzero(size == d), shared.value[int(d)]
-                far = np.arccos(np.clip(unit_rows([raw[i] for i in at]) @ (c / np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-300)).T, -1, 1))
-                own = far.argmin(axis=1)
-                reach = far[np.arange(len(at)), own] + 2 * np.arccos(np.clip(threshold, -1, 1)) + 1e-6
-                i, k = np.nonzero((far <= reach[:, None]) & (np.arange(len(c)) <= own[:, None]))
-                row += at[i].tolist()
-                cell += [f"{d}.{x:05d}" for x in k.tolist()]
-                home += (k == own[i]).tolist()
-            for s in range(0, len(row), 4096):
-                take = pa.array(row[s : s + 4096], pa.int64())
-                yield pa.RecordBatch.from_arrays([*(b.column(x).take(take) for x in ("gid", "m", "raw")), pa.array(cell[s : s + 4096], pa.string()), pa.array(home[s : s + 4096], pa.bool_())], names=["gid", "m", "raw", "cell", "home"])
-
-    placed = saved(groups.select("gid", "m", "raw").mapInArrow(assign, "gid long, m long, raw binary, cell string, home boolean"), spark, "cells")
-    blocks = placed.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("nb"))
-    # each row goes to the nb pairs of blocks that its own block is in
-    own = F.pmod(F.xxhash64("gid"), F.col("nb")).cast("int")
-    dealt = (
-        placed.join(blocks, "cell").withColumn("own", own)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-        .withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
-    )
-
-    def compare(key, part: pd.DataFrame) -> pd.DataFrame:
-        i, j = int(key[1]), int(key[2])
-        part = part.sort_values("gid", kind="stable", ignore_index=True)
-        x, gid, m = unit_rows(list(part.raw)), part.gid.to_numpy(), part.m.to_numpy()
-        mine = part.own.to_numpy()
-        home = part.home.to_numpy(bool)
-        count, forest = np.zeros(len(part), np.int64), Union(len(part))
-        for s in range(0, len(part), BLOCK):
-            rows_, cols = np.nonzero(x[s : s + BLOCK] @ x.T >= threshold)
-            rows_ += s
-            keep = (rows_ < cols) & (home[rows_] | home[cols])
-            if i != j:
-                keep &= mine[rows_] != mine[cols]
-            for a, b in zip(rows_[keep].tolist(), cols[keep].tolist()):
-                count[a] += m[b]
-                count[b] += m[a]
-                forest.join(a, b)
-        root = np.array([gid[forest.root(k)] for k in range(len(part))], np.int64)
-        found = count > 0
-        return pd.DataFrame({"gid": gid[found], "n": count[found], "root": root[found]})
-
-    found = dealt.groupBy("cell", "i", "j").applyInPandas(compare, "gid long, n long, root long")
-    found = saved(found, spark, "links")
-    groups_of = components(spark, found.select(F.col("gid").alias("a"), F.col("root").alias("b")))
-    counts = found.groupBy("gid").agg(F.sum("n").alias("n"))
+            for s in range(0, b.num_rows, 512):
+                part = b.slice(s, 512)
+                raw = part.column("raw").to_pylist()
+                size = np.array([len(r) for r in raw])
+                home, went = np.zeros(len(raw), np.int64), [b""] * len(raw)
+                for d in np.unique(size).tolist():
+                    at, base = np.flatnonzero(size == d), d * CELLS
+                    home[at] = base
+                    if d in shared.value:
+                        own, go = visits(unit_rows([raw[i] for i in at]), shared.value[d], threshold, reach)
+                        home[at] += own
+                        go[np.arange(len(at)), own] = False
+                        for i, g in zip(at.tolist(), go):
+                            went[i] = (base + np.flatnonzero(g)).tobytes()
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("gid", "m", "raw")), pa.array(home), pa.array(went, pa.binary())], names=["gid", "m", "raw", "home", "visits"])
+
+    placed = saved(groups.select("gid", "m", "raw").mapInArrow(assign, "gid long, m long, raw binary, home long, visits binary"), spark, "cells")
+    sizes = saved(placed.groupBy("home").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("nb")), spark, "homes")
+    n_tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), groups.count() >> 16)
+    path = shared_dir(spark, "blocks")
+    dealt = placed.join(sizes, "home").withColumn("block", F.pmod(F.xxhash64("gid"), F.col("nb")).cast("int")).drop("nb")
+    going = saved(dealt.repartition(n_tasks, "home", "block").mapInArrow(_write_blocks(path), "cell long, home long, hblock int, who binary"), spark, "visits")
+    # the visitors of a cell meet each block at home there; so does each of these blocks, once
+    number = F.explode(F.sequence(F.lit(0), F.col("nb") - 1))
+    guests = going.join(sizes.select(F.col("home").alias("cell"), "nb"), "cell").select("cell", number.alias("block"), "home", "hblock", "who")
+    first = sizes.select("home", "nb", number.alias("block"))
+    at_home = first.select(F.col("home").alias("cell"), "block", "home", F.explode(F.sequence("block", F.col("nb") - 1)).alias("hblock"), F.lit(None).cast("binary").alias("who"))
+    items = guests.union(at_home).repartition(4 * n_tasks, "cell", "block").sortWithinPartitions("cell", "block")
+    found = saved(items.mapInArrow(_compare(path, threshold), "gid long, n long, root long"), spark, "links")
+    remove(path, placed, sizes, going)
+    groups_of = components(spark, found.filter("root is not null").select(F.col("gid").alias("a"), F.col("root").alias("b")))
+    counts = found.filter("n is not null").groupBy("gid").agg(F.sum("n").alias("n"))
     whole = (
-        groups.select("copy", "gid", "m").join(counts, "gid", "left").join(groups_of.withColumnRenamed("node", "gid"), "gid", "left")
-        .select("copy", (F.coalesce("n", F.lit(0)) + F.col("m") - 1).alias("n_links"), F.coalesce("component", "gid").alias("component_id"))
+        groups.select("copy", "gid", "m", "least").join(counts, "gid", "left").join(groups_of.withColumnRenamed("node", "gid"), "gid", "left")
+        .select("copy", "least", (F.coalesce("n", F.lit(0)) + F.col("m") - 1).alias("n_links"), F.coalesce("component", "gid").alias("component"))
     )
-    out = rows.select("id", "copy").join(whole, "copy", "left")
+    least = whole.groupBy("component").agg(F.min("least").alias("component_id"))
+    out = rows.select("id", "copy").join(whole.join(least, "component").select("copy", "n_links", "component_id"), "copy", "left")
     return out.select(F.col("id").alias(id), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))
 
 
