@@ -67,6 +67,14 @@ def remove(*gone: str | DataFrame) -> None:
             shutil.rmtree(path.removeprefix("file://").removeprefix("file:"), ignore_errors=True)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``df`` has it (Spark tells names apart without case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def scan_bytes(df: DataFrame) -> int:
     """Size of what ``df`` scans, as the optimizer knows it; 64 MB for rows whose size it doesn't know."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
@@ -157,8 +165,9 @@ def raw_texts(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def span_codes(raw: np.ndarray, first: np.ndarray, end: np.ndarray, of_byte: np.ndarray = _OF_BYTE) -> np.ndarray:
     """A 64-bit hash of each span of bytes, by differences of one running sum."""
     n = len(raw)
-    sums = np.zeros(n + 1, U64)
-    np.cumsum(of_byte[raw] * _power(_BASE, n), out=sums[1:])
+    sums, value = np.zeros(n + 1, U64), of_byte[raw]
+    value *= _power(_BASE, n)
+    np.cumsum(value, out=sums[1:])
     return mix((sums[end] - sums[first]) * _power(pow(_BASE, -1, 1 << 64), n + 1)[first] + (end - first).astype(U64))
 
 
@@ -216,12 +225,13 @@ def _values(col: pa.ChunkedArray) -> np.ndarray:
     return np.frombuffer(b"".join(raw), np.dtype((np.void, len(raw[0]))))
 
 
-def write_store(df: DataFrame, path: str, bits: int, blob: str | None = None) -> int:
+def write_store(df: DataFrame, path: str, bits: int, blob: str | None = None, distinct: bool = False) -> int:
     """Writes ``df(key long, values...)`` as a store. Gives the rows.
 
     A bucket is the top ``bits`` bits of the key; the keys are hashes, so the
     buckets are of one size whatever the data's skew. Of rows with one key, one
-    stays (they have to be alike). Other binary columns have one width.
+    stays (they have to be alike; where they are ``distinct`` things, a key
+    twice is an error). Other binary columns have one width.
     """
     names = [c for c in df.columns if c not in ("key", blob)]
 
@@ -231,6 +241,8 @@ def write_store(df: DataFrame, path: str, bits: int, blob: str | None = None) ->
             key = table.column("key").to_numpy().view(U64)
             order = np.argsort(key, kind="stable")
             order = order[np.r_[True, key[order[1:]] != key[order[:-1]]]]
+            if distinct and len(order) < len(key):
+                raise ValueError("two values share a 64-bit hash")
             key = key[order]
             where = (key >> U64(64 - bits)).astype(np.int64)
             cols = {c: _values(table.column(c))[order] for c in names}
@@ -293,6 +305,21 @@ class HashStore:
                 out[c][rows] = self.column(b, c)[at]
         return found, out
 
+    def runs(self, keys: np.ndarray, kind: str) -> tuple[np.ndarray, np.ndarray]:
+        """The blobs of all keys as one array of ``kind``, and how many elements each has (none where no key is)."""
+        width, size, parts, whose = np.dtype(kind).itemsize, np.zeros(len(keys), np.int64), [], []
+        for b, rows, at in self._runs(keys):
+            ends = self.column(b, "ends")
+            size[rows] = (ends[at + 1] - ends[at]) // width
+            parts.append(gather(np.frombuffer(self.column(b, "blob"), kind), ends[at] // width, size[rows]))
+            whose.append(rows)
+        if not parts:
+            return np.empty(0, kind), size
+        flat, rows = np.concatenate(parts), np.concatenate(whose)
+        first = np.zeros(len(keys), np.int64)
+        first[rows] = np.cumsum(size[rows]) - size[rows]
+        return gather(flat, first, size), size
+
     def blobs(self, keys: np.ndarray) -> list[bytes | None]:
         out: list[bytes | None] = [None] * len(keys)
         for b, rows, at in self._runs(keys):
@@ -302,6 +329,12 @@ class HashStore:
         return out
 
 
+def gather(data: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The runs of ``data`` that begin at ``first``, one after the other."""
+    ends = np.cumsum(size)
+    return data[np.repeat(first - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)]
+
+
 def keep_columns(batch: pa.RecordBatch, **new: pa.Array) -> pa.RecordBatch:
     """The batch with columns set or replaced by name."""
     cols = {c: batch.column(i) for i, c in enumerate(batch.schema.names)} | new

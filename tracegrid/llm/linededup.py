@@ -19,9 +19,12 @@ hash. Texts are never shuffled, and a unit that stands in a third of all
 documents is one row of a store.
 
 A null text stays null and an empty one empty. Rows that repeat an id count
-as the same document: what one of them keeps, the other keeps. A text without
-a unit that qualifies is unchanged. Columns beside id and text pass through;
-``n_lines``, ``n_removed`` and the text are set, replacing columns so named.
+as the same document: what one of them keeps, the other keeps; of ties the
+first place in a text is kept. A text without a unit that qualifies is
+unchanged. Lines may hold any characters, and texts may be very long (a text is
+one task's at a time); lines are compared as bytes, without the ASCII blanks at
+their ends. An empty table gives no rows. Columns beside id and text pass
+through; the two ``counts`` replace columns so named.
 """
 
 from __future__ import annotations
@@ -36,10 +39,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from .common import HashStore, U64, bucket_bits, hash_bytes, mix, scan_bytes, shared_dir, slices, texts, write_store
+from .common import HashStore, U64, bucket_bits, hash_bytes, mix, raw_texts, scan_bytes, shared_dir, slices, span_codes, write_store
 
+#: Where lines begin.
 CUT = re.compile(r"(?<=\n)|(?<=[.!?,;:] )")
-ENDS, MARK = ("\n", ". ", "! ", "? ", ", ", "; ", ": "), "\x00"
+CLAUSE = np.isin(np.arange(256), list(b".!?,;:"))
+BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+BYTES = np.random.default_rng(23).integers(1, 2**63, 256, dtype=U64) * U64(2) + U64(1)  # of a line's hash
 WINDOW = 2
 MEAN = 2  # a boundary after one line in so many
 WORDS = 8  # of a chunk, at least
@@ -49,31 +55,44 @@ PIECE = 48  # lines in which the units of a piece begin
 ODD, INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
 
 
-def cut_lines(text: str) -> list[str]:
-    """``CUT.split`` in fewer steps, by a mark that the text doesn't hold."""
-    if MARK in text:
-        return CUT.split(text)
-    for end in ENDS:
-        text = text.replace(end, end + MARK)
-    return text.split(MARK)
+def _trim(raw: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the lines begin and end without blanks."""
+    head, tail = low.copy(), high.copy()
+    for step in range(4):
+        tail -= (tail > head) & BLANK[raw[tail - 1]]
+        if step < 2:
+            head += (head < tail) & BLANK[raw[np.minimum(head, len(raw) - 1)]]
+    more = (tail > head) & (BLANK[raw[tail - 1]] | BLANK[raw[np.minimum(head, len(raw) - 1)]])
+    for i in np.flatnonzero(more).tolist():
+        line = raw[head[i] : tail[i]].tobytes()
+        head[i] += len(line) - len(line.lstrip())
+        tail[i] = head[i] + len(line.strip())
+    return head, tail
 
 
 class Chunks:
     """The lines and units of a batch of texts, as flat arrays; a key's units in the order of their places."""
 
-    def __init__(self, batch: list[str]):
-        cut = [cut_lines(t) if t else [] for t in batch]
-        for c in cut:
-            if c and not c[-1]:
-                c.pop()
-        self.lines = [x for c in cut for x in c]
-        self.count = np.array([len(c) for c in cut], np.int64)
-        self.start = np.concatenate([[0], np.cumsum(self.count)])
-        self.raw = [x.strip().encode() for x in self.lines]
-        n = len(self.lines)
-        own = np.repeat(np.arange(len(batch)), self.count)
-        h = hash_bytes(self.raw)
-        words_ = np.fromiter([x.count(b" ") + 1 if x else 0 for x in self.raw], np.int64, n)
+    def __init__(self, col: pa.Array):
+        raw, ends = raw_texts(col)
+        cut = np.zeros(len(raw) + 1, bool)
+        cut[1:][raw == 10] = True
+        cut[2:][(raw[1:] == 32) & CLAUSE[raw[:-1]]] = True
+        cut[ends[ends < len(raw)]] = True
+        cut[len(raw) :] = False
+        low = np.flatnonzero(cut)
+        high = np.r_[low[1:], len(raw)][: len(low)]
+        self.start = np.searchsorted(low, ends)
+        self.count = np.diff(self.start)
+        self.low, self.high = low, high
+        self.head, self.tail = _trim(raw, low, high)
+        self.bytes = raw.tobytes()
+        n = len(low)
+        own = np.repeat(np.arange(len(ends) - 1), self.count)
+        h = span_codes(raw, self.head, self.tail, BYTES)
+        spaces = np.zeros(len(raw) + 1, np.int32)
+        np.cumsum(raw == 32, out=spaces[1:])
+        words_ = np.where(self.tail > self.head, spaces[self.tail] - spaces[self.head] + 1, 0)
         inside = np.arange(n) - np.repeat(self.start[:-1], self.count)
         roll = h.copy()
         for k in range(1, WINDOW):
@@ -102,6 +121,15 @@ class Chunks:
         self.first, self.end, self.key = np.r_[first[good], head], np.r_[end[good], tail], np.r_[key[good], runs]
         self.doc = own[self.first]
 
+    def raw(self, s: int, e: int) -> list[bytes]:
+        """The lines s to e without the blanks at their ends."""
+        return [self.bytes[x:y] for x, y in zip(self.head[s:e].tolist(), self.tail[s:e].tolist())]
+
+    def left(self, doc: int, gone: np.ndarray) -> str:
+        """The text of a document without the lines that are gone."""
+        s, e = self.start[doc], self.start[doc + 1]
+        return b"".join([self.bytes[x:y] for x, y, g in zip(self.low[s:e].tolist(), self.high[s:e].tolist(), gone[s:e].tolist()) if not g]).decode()
+
     def pieces(self, at: np.ndarray) -> Iterator[tuple[int, int, list[int]]]:
         """First line and end of each piece for the units ``at``, with the units that begin in it."""
         at = at[np.argsort(self.first[at], kind="stable")].tolist()
@@ -127,15 +155,15 @@ def _lines(raw: bytes) -> list[bytes]:
     return [raw[s:e] for s, e in zip(ends[:-1].tolist(), ends[1:].tolist())]
 
 
-def dedup(spark: SparkSession, docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with repeated units removed from the text, n_lines and n_removed."""
+def dedup(spark: SparkSession, docs: DataFrame, id: str = "doc_id", text: str = "text", counts: tuple[str, str] = ("n_lines", "n_removed")) -> DataFrame:
+    """``docs`` with repeated units removed from the text, and the numbers of lines and of removed ones as ``counts``."""
     bits = bucket_bits(scan_bytes(docs), 64 << 20)
     rows = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
 
     def unit_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", 2 << 20):
-                c = Chunks(texts(part.column("text")).to_pylist())
+                c = Chunks(part.column("text"))
                 yield pa.RecordBatch.from_pydict({"key": pa.array(c.key.view(np.int64)), "id": part.column("id").take(pa.array(c.doc))})
 
     keepers = shared_dir(spark, "keepers")
@@ -146,7 +174,7 @@ def dedup(spark: SparkSession, docs: DataFrame, id: str = "doc_id", text: str =
         store = HashStore(keepers, bits)
         for batch in batches:
             for part in slices(batch, "text", 2 << 20):
-                c = Chunks(texts(part.column("text")).to_pylist())
+                c = Chunks(part.column("text"))
                 own = np.array(part.column("id").fill_null(-1))[c.doc]
                 found, got = store.find(c.key, id=np.int64)
                 at = np.flatnonzero(found & (got["id"] == own))
@@ -155,7 +183,7 @@ def dedup(spark: SparkSession, docs: DataFrame, id: str = "doc_id", text: str =
                 at = at[np.r_[True, (doc[1:] != doc[:-1]) | (key[1:] != key[:-1])][: len(at)]]
                 keys, piece, off, blob = [], [], [], []
                 for s, e, units in c.pieces(at):
-                    raw = _pack(c.raw[s:e])
+                    raw = _pack(c.raw(s, e))
                     name = int(hash_bytes([raw]).view(np.int64)[0])
                     keys += [name, *c.key[units].view(np.int64).tolist()]
                     piece += [0, *[name] * len(units)]
@@ -167,22 +195,21 @@ def dedup(spark: SparkSession, docs: DataFrame, id: str = "doc_id", text: str =
     place = F.min(F.struct("piece", "off"))
     whole = rows.mapInArrow(kept_bytes, "key long, piece long, off long, own binary").groupBy("key").agg(place.alias("p"), F.max("own").alias("own"))
     write_store(whole.select("key", "p.piece", "p.off", "own"), kept, bits, blob="own")
-    fields = [f for f in docs.schema.fields if f.name not in ("n_lines", "n_removed")]
-    schema = StructType([StructField(f.name, StringType() if f.name == text else f.dataType) for f in fields] + [StructField("n_lines", LongType()), StructField("n_removed", LongType())])
+    fields = [f for f in docs.schema.fields if f.name not in counts]
+    schema = StructType([StructField(f.name, StringType() if f.name == text else f.dataType) for f in fields] + [StructField(c, LongType()) for c in counts])
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keeper, bytes_ = HashStore(keepers, bits), HashStore(kept, bits)
         for batch in batches:
             for part in slices(batch, text, 2 << 20):
                 col = part.column(text)
-                before = texts(col).to_pylist()
-                c = Chunks(before)
+                c = Chunks(col)
                 own = np.array(part.column(id).cast(pa.int64()).fill_null(-1))[c.doc]
                 found, got = keeper.find(c.key, id=np.int64)
                 at, who = np.flatnonzero(found), got["id"][found]
-                gone = np.zeros(len(c.lines), bool)
+                gone = np.zeros(len(c.low), bool)
                 seen: set[tuple[int, int]] = set()
-                raw, start = c.raw, c.start.tolist()
+                start = c.start.tolist()
                 have, where = bytes_.find(c.key[at], piece=np.int64, off=np.int64)
                 names = np.unique(where["piece"][have])
                 held = {p: _lines(x) for p, x in zip(names.tolist(), bytes_.blobs(names.view(U64))) if x}
@@ -199,21 +226,24 @@ def dedup(spark: SparkSession, docs: DataFrame, id: str = "doc_id", text: str =
                         low, high = done.get((p, s - o), (0, 0))
                         if low <= s and e <= high:
                             continue
-                    if piece[o : o + e - s] != raw[s:e]:
+                    if piece[o : o + e - s] != c.raw(s, e):
                         continue
                     if not keeps:
                         low, high, m, at_piece = start[d], start[d + 1], o + e - s, s - o
-                        while s > low and o > 0 and raw[s - 1] == piece[o - 1]:
+                        while s > low and o > 0 and c.raw(s - 1, s)[0] == piece[o - 1]:
                             s, o = s - 1, o - 1
-                        while e < high and m < len(piece) and raw[e] == piece[m]:
+                        while e < high and m < len(piece) and c.raw(e, e + 1)[0] == piece[m]:
                             e, m = e + 1, m + 1
                         done[p, at_piece] = s, e
                     gone[s:e] = True
-                after = [t if not g.any() else "".join(x for x, y in zip(c.lines[s:e], g) if not y) for t, s, e in zip(before, c.start, c.start[1:]) for g in (gone[s:e],)]
-                removed = np.add.reduceat(np.r_[gone, False], np.minimum(c.start[:-1], len(gone))) * (c.count > 0) if len(before) else np.empty(0)
-                new = pa.array(after, pa.string())
-                new = pa.compute.if_else(col.is_valid(), new, pa.scalar(None, pa.string()))
+                removed = np.diff(np.r_[0, np.cumsum(gone)][c.start])
+                new = col.cast(pa.string())
+                if gone.any():
+                    at = np.flatnonzero(removed)
+                    cut = np.zeros(len(new), bool)
+                    cut[at] = True
+                    new = pa.compute.replace_with_mask(pa.concat_arrays([new]), pa.array(cut), pa.array([c.left(d, gone) for d in at.tolist()], pa.string()))
                 cols = {f.name: (new if f.name == text else part.column(f.name)) for f in fields}
-                yield pa.RecordBatch.from_arrays([*cols.values(), pa.array(c.count), pa.array(np.asarray(removed, np.int64))], names=[*cols, "n_lines", "n_removed"])
+                yield pa.RecordBatch.from_arrays([*cols.values(), pa.array(c.count), pa.array(removed)], names=[*cols, *counts])
 
     return docs.select(*(f.name for f in fields)).mapInArrow(strip, schema)
