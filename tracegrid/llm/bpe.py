@@ -3,13 +3,13 @@ higher-order functions over a literal rank map; decoding concatenates the
 binary pieces of the ids.
 
 1. Python workers cut each text where the tokenizer's pattern is sure to cut (at
-   single spaces and line breaks), fold equal chunks, and cut the distinct ones
-   by the pattern; only distinct pieces leave a task.
+   single spaces and line breaks), and chunks of plain letters, digits and signs
+   where the class of the characters changes; the distinct other chunks are cut
+   by the pattern itself. Only distinct pieces leave a task.
 2. Spark folds each distinct piece: an array of its bytes loses the pair of
    lowest rank step by step until no pair has a rank (``encode_pieces``).
 3. The piece -> ids table becomes a hash store on the shared folder, which the
-   workers map to write out each document's ids, gathered chunk by chunk in
-   NumPy. No text is ever shuffled, and nothing that grows with the corpus is
+   workers map to write out each document's ids, gathered in NumPy. No text is ever shuffled, and nothing that grows with the corpus is
    broadcast.
 
 Nulls and empty texts have no ids; the digests are then those of no bytes.
@@ -32,19 +32,29 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import HashStore, bucket_bits, hash_bytes, raw_texts, saved, scan_bytes, shared_dir, slices, write_store
+from .common import U64, HashStore, bucket_bits, gather, raw_texts, remove, saved, scan_bytes, shared_dir, slices, span_codes, write_store
 
+_BYTE = np.arange(256)
 #: ASCII characters that are visible, and lead bytes of UTF-8 that begin no white space.
-SEEN = (np.arange(256) > 32) & (np.arange(256) < 127)
-BEGINS = SEEN | ((np.arange(256) > 0xC2) & ~np.isin(np.arange(256), [0xE1, 0xE2, 0xE3]))
+SEEN = (_BYTE > 32) & (_BYTE < 127)
+BEGINS = SEEN | ((_BYTE > 0xC2) & ~np.isin(_BYTE, [0xE1, 0xE2, 0xE3]))
+#: Classes of bytes: the space, the line break, letters (with the lead bytes of two-byte letters
+#: alone, and the bytes that follow a lead), digits, other visible ones; HARD: any other.
+HARD = 5
+CLASS = np.full(256, HARD, np.uint8)
+CLASS[SEEN] = 4
+CLASS[32], CLASS[10], CLASS[39] = 0, 1, HARD  # contractions begin with an apostrophe
+CLASS[(_BYTE >= 48) & (_BYTE < 58)] = 3
+CLASS[((_BYTE | 32) >= 97) & ((_BYTE | 32) < 123) & (_BYTE < 128)] = 2
+CLASS[[0xC3, *range(0xC4, 0xCA), 0xD0, 0xD1, *range(0x80, 0xC0)]] = 2  # U+00C0 to U+027F, U+0400 to U+047F
 ID = 17  # bits of a token id
 MASK = (1 << ID) - 1
 SLOTS = 1 << 17
 NONE = 1 << ID  # the rank of a pair that has none
 LONG = 1024
-CACHE = 200_000  # chunks of up to SHORT bytes that a worker keeps at hand
-SHORT = 64
-SLICE = 4 << 20
+CACHE = 1_000_000  # hashes of pieces that a task remembers
+SLICE = 2 << 20
+PIECES = np.random.default_rng(22).integers(1, 2**63, 256, dtype=U64) * U64(2) + U64(1)  # the hash of a piece
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -156,59 +166,66 @@ def heap_encode(piece: bytes, ranks: dict[bytes, int], pairs: dict[tuple[int, in
     return [x for x in ids if x >= 0]
 
 
-def cut_chunks(col: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
-    """The chunks of all texts in order, and each text's number of them.
+def cut_units(col: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray, np.ndarray]:
+    """The units of all texts in order, which distinct ones are pieces for sure, and each text's number of units.
 
-    Cut is before a space that a visible character follows, and on both sides of
-    a line break between two visible ones: the pattern has a boundary there, and
-    what it finds on one side does not depend on the other.
+    A unit is a piece or a chunk of several. Chunks begin before a space that a
+    visible character follows, and on both sides of a line break between two
+    visible ones: the pattern has a boundary there, and what it finds on one side
+    does not depend on the other. Inside a chunk without HARD bytes and other
+    white space, pieces begin where the class changes, but for the space.
     """
     raw, ends = raw_texts(col)
     start = np.zeros(len(raw) + 1, bool)
+    kind = CLASS[raw]
+    rough = kind == HARD
     if len(raw) > 2:
         start[:-2] = (raw[:-1] == 32) & BEGINS[raw[1:]]
         line = 1 + np.flatnonzero((raw[1:-1] == 10) & SEEN[raw[:-2]] & BEGINS[raw[2:]])
         start[line] = start[line + 1] = True
-    start[ends[1:-1][ends[1:-1] > 0] - 1] &= False  # the next character is another text's
+        rough[:-1] |= (raw[:-1] == 0xC3) & ((raw[1:] == 0x97) | (raw[1:] == 0xB7))  # the signs of multiplication and division
+    start[ends[1:-1][ends[1:-1] > 0] - 1] = False  # the next character is another text's
+    rough |= (kind < 2) & ~start[:-1]
     start[ends] = True
     first = np.flatnonzero(start)  # the last one is the end
-    offsets = pa.py_buffer(np.ascontiguousarray(first, np.int64))
-    chunks = pa.Array.from_buffers(pa.large_binary(), len(first) - 1, [None, offsets, pa.py_buffer(np.ascontiguousarray(raw))])
-    return chunks.dictionary_encode(), np.diff(np.searchsorted(first, ends))
-
-
-def cut_pieces(chunks: list[bytes], find) -> list[list[str]]:
-    """The pieces of each chunk. Those that begin with a space are cut in one go."""
-    out: list[list[str]] = [[]] * len(chunks)
-    plain = []
-    for i, c in enumerate(chunks):
-        if c[:1] == b" " and len(c) > 1 and BEGINS[c[1]]:
-            plain.append(i)
-        else:
-            out[i] = find(c.decode())
-    strings = [chunks[i].decode() for i in plain]
-    pieces = find("".join(strings))
-    ends = np.searchsorted(np.cumsum([len(p) for p in pieces]), np.cumsum([len(x) for x in strings])) + 1
-    s = 0
-    for i, e in zip(plain, ends.tolist()):
-        out[i], s = pieces[s:e], e
-    return out
+    total = np.r_[0, np.cumsum(rough)]
+    plain = np.repeat(total[first[1:]] == total[first[:-1]], np.diff(first))
+    if len(raw):
+        start[1:-1] |= (kind[1:] != kind[:-1]) & (kind[:-1] != 0) & plain[1:]
+        first = np.flatnonzero(start)
+    units = pa.Array.from_buffers(pa.large_binary(), len(first) - 1, [None, pa.py_buffer(np.ascontiguousarray(first, np.int64)), pa.py_buffer(np.ascontiguousarray(raw))])
+    units = units.dictionary_encode()
+    sure = np.zeros(len(units.dictionary), bool)
+    sure[np.asarray(units.indices)[plain[first[:-1]]]] = True
+    return units, sure, np.diff(np.searchsorted(first, ends))
+
+
+def keys_of(pieces: pa.Array) -> np.ndarray:
+    """The hashes of pieces given as large_binary."""
+    ends = np.frombuffer(pieces.buffers()[1], np.int64)[pieces.offset : pieces.offset + len(pieces) + 1] if len(pieces) else np.zeros(1, np.int64)
+    raw = np.frombuffer(pieces.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]] if len(pieces) else np.empty(0, np.uint8)
+    return span_codes(raw, ends[:-1] - ends[0], ends[1:] - ends[0], PIECES)
 
 
 def distinct_pieces(docs: DataFrame, text: str, pattern: str) -> DataFrame:
     """The distinct pieces of all texts, as ``piece binary``."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find, seen_chunks, seen = piece_pattern(pattern).findall, set(), set()
+        find, seen = piece_pattern(pattern).findall, np.empty(0, U64)
         for batch in batches:
             for part in slices(batch, text, SLICE):
-                chunks = set(cut_chunks(part.column(text))[0].dictionary.to_pylist()) - seen_chunks
-                seen_chunks.update(c for c in chunks if len(c) <= SHORT)
-                new = {p for ps in cut_pieces(list(chunks), find) for p in ps} - seen
-                seen.update(p for p in new if len(p) <= SHORT)
-                if len(seen_chunks) > CACHE:
-                    seen_chunks, seen = set(), set()
-                yield pa.RecordBatch.from_pydict({"piece": pa.array([p.encode() for p in new], pa.binary())})
+                units, sure, _ = cut_units(part.column(text))
+                names, more = units.dictionary, {p for c in units.dictionary.filter(pa.array(~sure)).to_pylist() for p in find(c.decode())}
+                pieces = pa.concat_arrays([names.filter(pa.array(sure)), pa.array([p.encode() for p in more], pa.large_binary())])
+                key = keys_of(pieces)
+                order = np.argsort(key)
+                at = np.searchsorted(seen, key[order])
+                old = at < len(seen)
+                old[old] = seen[at[old]] == key[order][old]
+                new = np.ones(len(key), bool)
+                new[order] = ~old
+                seen = np.insert(seen, at[~old], key[order][~old]) if len(seen) < CACHE else key[order]
+                yield pa.RecordBatch.from_pydict({"piece": pieces.filter(pa.array(new)).cast(pa.binary())})
 
     return docs.select(text).mapInArrow(cut, "piece binary").distinct()
 
@@ -232,54 +249,35 @@ def piece_store(spark: SparkSession, docs: DataFrame, text: str, rank_path: str,
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            pieces = b.column("piece").to_pylist()
-            flat = np.asarray(b.column("ids").flatten(), "<u4")
-            ends = np.asarray(b.column("ids").offsets)
-            ends = ends - ends[0]
-            raw = [len(p).to_bytes(4, "little") + p + flat[s:e].tobytes() for p, s, e in zip(pieces, ends, ends[1:])]
-            yield pa.RecordBatch.from_pydict({"key": pa.array(hash_bytes(pieces).view(np.int64)), "raw": pa.array(raw, pa.binary())})
+            flat, ends = np.asarray(b.column("ids").flatten(), "<u4"), 4 * np.asarray(b.column("ids").offsets)
+            flat, ends = memoryview(flat).cast("B"), (ends - ends[0]).tolist()
+            key = keys_of(b.column("piece").cast(pa.large_binary()))
+            yield pa.RecordBatch.from_pydict({"key": pa.array(key.view(np.int64)), "raw": pa.array([flat[s:e] for s, e in zip(ends, ends[1:])], pa.binary())})
 
     path = shared_dir(spark, "bpe")
-    write_store(encoded.mapInArrow(packed, "key long, raw binary"), path, bits, blob="raw")
+    write_store(encoded.mapInArrow(packed, "key long, raw binary"), path, bits, blob="raw", distinct=True)
+    remove(pieces)
     return path, bits
 
 
 class Encoder:
-    """Ids of texts by a piece store, with the chunks met lately kept at hand."""
+    """Ids of texts by a piece store, which holds each piece of them."""
 
     def __init__(self, path: str, bits: int, pattern: str):
-        self.store, self.find, self.near = HashStore(path, bits), piece_pattern(pattern).findall, {}
-
-    def learn(self, chunks: list[bytes]) -> list[bytes]:
-        """The chunks' ids."""
-        cut = cut_pieces(chunks, self.find)
-        pieces = list({p for ps in cut for p in ps})
-        raw = [p.encode() for p in pieces]
-        ids = {}
-        for p, own, got in zip(pieces, raw, self.store.blobs(hash_bytes(raw))):
-            size = int.from_bytes(got[:4], "little")
-            if got[4 : 4 + size] != own:
-                raise ValueError("two pieces share a 64-bit hash")
-            ids[p] = got[4 + size :]
-        return [ids[ps[0]] if len(ps) == 1 else b"".join([ids[p] for p in ps]) for ps in cut]
+        self.store, self.find = HashStore(path, bits), piece_pattern(pattern).findall
 
     def __call__(self, col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, and the places where texts begin and end."""
-        chunks, counts = cut_chunks(col)
-        names = chunks.dictionary.to_pylist()
-        new = [c for c in names if c not in self.near]
-        got = dict(zip(new, self.learn(new)))
-        blobs = [self.near[c] if c in self.near else got[c] for c in names]
-        if len(self.near) + len(new) > CACHE:
-            self.near = {}
-        self.near.update((c, x) for c, x in got.items() if len(c) <= SHORT)
-        size = np.fromiter(map(len, blobs), np.int64, len(blobs)) // 4
-        flat, first = np.frombuffer(b"".join(blobs), "<u4"), np.cumsum(size) - size
-        which = np.asarray(chunks.indices)
-        n = size[which]
-        ends = np.r_[0, np.cumsum(n)]
-        ids = flat[np.repeat(first[which] - ends[:-1], n) + np.arange(ends[-1])]
-        return ids, ends[np.r_[0, np.cumsum(counts)]]
+        units, sure, counts = cut_units(col)
+        n_pieces, pieces = np.ones(len(sure), np.int64), units.dictionary
+        if not sure.all():
+            own = [[c] if k else [p.encode() for p in self.find(c.decode())] for c, k in zip(pieces.to_pylist(), sure.tolist())]
+            n_pieces, pieces = np.fromiter(map(len, own), np.int64, len(own)), pa.array([p for ps in own for p in ps], pa.large_binary())
+        flat, size = self.store.runs(keys_of(pieces), "<u4")
+        size = np.add.reduceat(size, np.cumsum(n_pieces) - n_pieces) if len(size) else size  # no unit is without a piece
+        which = np.asarray(units.indices)
+        ends = np.r_[0, np.cumsum(size[which])]
+        return gather(flat, (np.cumsum(size) - size)[which], size[which]), ends[np.r_[0, np.cumsum(counts)]]
 
 
 def encode(spark: SparkSession, docs: DataFrame, rank_path: str, pattern: str, id: str = "doc_id", text: str = "text") -> DataFrame:

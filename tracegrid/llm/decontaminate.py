@@ -10,13 +10,17 @@ and then by Myers' bit-parallel distance (item anywhere in the window).
 
 The items are shared with the workers in blocks of BLOCK characters at most,
 whatever the size of the benchmark; each document is scanned for each block,
-and nothing is shuffled but one row per document with hits.
+one after the other (what a block found is written before the next one is
+looked for, so a worker holds one). Nothing is shuffled.
 
 Texts and items are compared in lower case with white space and punctuation as
-single spaces. Items that are null or under ``MIN`` characters then are not
-looked for. Null and empty texts contain nothing. Repeated documents get a
-row each, repeated items are all reported, with null item ids last. Extra
-columns are not read.
+single spaces. Items of under ``MIN`` characters then are looked for as whole
+words without edits; null items and those without a character are not looked
+for. Null and empty texts contain nothing, and very long ones are scanned whole.
+Of several places the least distance counts. Repeated documents get a row each,
+repeated items are all reported, with null item ids last; an empty benchmark
+finds nothing, an empty table gives no rows. Extra columns pass through, but
+those named like ``out``.
 """
 
 from __future__ import annotations
@@ -29,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-from .common import slices, texts
+from .common import free_name, remove, saved, slices, texts
 
 ERROR = 0.1
 MIN = 24
@@ -93,7 +97,7 @@ class Finder:
         import ahocorasick
 
         own = [(i, normal(t or "")) for i, t in items]
-        self.items = [(i, t, int(error * len(t))) for i, t in own if len(t) >= MIN]
+        self.items = [(i, t, int(error * len(t)) if len(t) >= MIN else 0) for i, t in own if t]
         self.grams = [Counter(t[j : j + GRAM] for j in range(len(t) - GRAM + 1)) for _, t, _ in self.items]
         at: dict[str, list[tuple]] = {}
         for n, (_, t, k) in enumerate(self.items):
@@ -121,6 +125,8 @@ class Finder:
                     continue
                 start = end + 1 - length - offset
                 _, item, k = self.items[n]
+                if len(item) < MIN and not (text[max(0, start - 1) : start] in ("", " ") and text[end + 1 : end + 2] in ("", " ")):
+                    continue
                 if found.get(n) == 0 or (n, start) in tried:
                     continue
                 tried.add((n, start))
@@ -138,13 +144,14 @@ class Finder:
         return found
 
 
-def matches(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", error: float = ERROR) -> DataFrame:
-    """``docs`` with ``items`` and ``distances`` (arrays, in order of item id; empty for clean documents)."""
+def matches(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", error: float = ERROR, out: tuple[str, str] = ("items", "distances")) -> DataFrame:
+    """``docs`` with the found items and their distances as ``out`` (arrays, in order of item id; empty for clean documents)."""
     items = benchmark.select(F.col(item_id).cast("long").alias("i"), F.col(item_text).alias("t"))
     total = items.agg(F.sum(F.length("t"))).first()[0] or 0
     blocks = -(-total // BLOCK) or 1
-    fields = [f for f in docs.schema.fields if f.name not in ("items", "distances")]
-    out = docs.select(*(f.name for f in fields)).withColumns({"items": F.array().cast("array<bigint>"), "distances": F.array().cast("array<bigint>")})
+    fields = [f for f in docs.schema.fields if f.name not in out]
+    schema = StructType([*fields, *(StructField(c, ArrayType(LongType())) for c in out)])
+    found = docs.select(*(f"`{f.name}`" for f in fields)).withColumns({c: F.array().cast("array<bigint>") for c in out})
     for b in range(blocks):
         # of BLOCK characters or so: the size is bounded by the choice of `blocks`
         own = spark.sparkContext.broadcast([(r.i, r.t) for r in items.filter(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == b).collect()])
@@ -154,17 +161,21 @@ def matches(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, id: str
             for batch in batches:
                 for part in slices(batch, text):
                     rows = []
-                    for t, ids, distances in zip(texts(part.column(text)).to_pylist(), part.column("items").to_pylist(), part.column("distances").to_pylist()):
+                    for t, ids, distances in zip(texts(part.column(text)).to_pylist(), part.column(out[0]).to_pylist(), part.column(out[1]).to_pylist()):
                         got = [(finder.items[n][0], d) for n, d in finder(t).items()]
                         rows.append(sorted(got + list(zip(ids, distances)), key=lambda x: (x[0] is None, x[0] or 0, x[1])))
-                    kind = pa.list_(pa.int64())
-                    new = {"items": pa.array([[i for i, _ in r] for r in rows], kind), "distances": pa.array([[d for _, d in r] for r in rows], kind)}
+                    new = {c: pa.array([[x[k] for x in r] for r in rows], pa.list_(pa.int64())) for k, c in enumerate(out)}
                     yield pa.RecordBatch.from_arrays([new.get(f, part.column(f)) for f in part.schema.names], names=part.schema.names)
 
-        out = out.mapInArrow(find, StructType([*fields, StructField("items", ArrayType(LongType())), StructField("distances", ArrayType(LongType()))]))
-    return out
+        before, found = found, found.mapInArrow(find, schema)
+        if b < blocks - 1:
+            found = saved(found, spark, "items")
+        if 0 < b < blocks - 1:
+            remove(before)
+    return found
 
 
 def clean(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, **kw) -> DataFrame:
     """The documents in which no item is found, with their own columns."""
-    return matches(spark, docs, benchmark, **kw).filter(F.size("items") == 0).select(*(c for c in docs.columns))
+    out = free_name(docs, "items"), free_name(docs, "distances")
+    return matches(spark, docs, benchmark, out=out, **kw).filter(F.size(out[0]) == 0).select(*(f"`{c}`" for c in docs.columns))

@@ -10,9 +10,12 @@ bins over whole Arrow batches.
 Learning takes at most ``sample`` labelled rows (those of smallest hash of the
 id, whatever the tables' order), so what reaches the driver has a fixed bound;
 every document is scored over its whole text. Null and empty texts have all
-features 0 and get a score like others. Rows without a label are not learnt
-from; an id labelled twice takes its smallest label. Repeated rows are scored
-each. With no usable label all scores are 0.5. Extra columns are not read.
+features 0 and get a score like others; very long texts are measured whole, one
+at a time. Rows without a label are not learnt from; an id labelled twice takes
+its smallest label, an id with several texts the least features. Ties of a
+split go to the lowest bin, those of pairs to the first features. Repeated rows
+are scored each. With no usable label all scores are 0.5; an empty table gives
+no rows. Extra columns pass through.
 """
 
 from __future__ import annotations
@@ -179,19 +182,20 @@ def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "tex
     """A model of ``labels(id, label)``; keep held-out rows out of ``labels``."""
     some = (
         labels.filter(F.col(label).isNotNull() & F.col(id).isNotNull())
-        .groupBy(id).agg(F.min(label).cast("double").alias("_y"))
+        .groupBy(id).agg(F.min(label).cast("double").alias("y"))
         .orderBy(F.xxhash64(F.col(id).cast("string")), id).limit(sample)
     )
     # at most `sample` ids: the bound that allows the broadcast
-    rows = docs.select(id, text).join(F.broadcast(some), id)
+    rows = docs.select(F.col(id).alias("id"), F.col(text).alias("text")).join(F.broadcast(some.withColumnRenamed(id, "id")), "id")
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, text, 4 << 20):
-                x = features(part.column(text))
-                yield pa.RecordBatch.from_pydict({"i": part.column(id).cast(pa.string()), "y": part.column("_y"), "x": pa.array(list(x), pa.list_(pa.float64()))})
+            for part in slices(batch, "text", 4 << 20):
+                x = features(part.column("text"))
+                yield pa.RecordBatch.from_pydict({"i": part.column("id").cast(pa.string()), "y": part.column("y"), "x": pa.array(list(x), pa.list_(pa.float64()))})
 
-    got = rows.mapInArrow(measure, "i string, y double, x array<double>").toPandas().sort_values("i", kind="stable").drop_duplicates("i")
+    one = rows.mapInArrow(measure, "i string, y double, x array<double>").groupBy("i").agg(F.min("y").alias("y"), F.min("x").alias("x"))
+    got = one.toPandas().sort_values("i", kind="stable")
     x = np.array(got["x"].tolist(), float).reshape(-1, len(FEATURES))
     return learn(x, got["y"].to_numpy(float))
 
