@@ -7,8 +7,11 @@
 5. tokens      the ids of what is left
 
 A stage reads what its predecessor wrote and returns the columns of
-``documents`` (the last: doc_id, n_tokens, ids). Null and empty texts go
-through as empty ones, unless the classifier rejects them.
+``documents`` (the last: doc_id, n_tokens, ids), whatever they are called: what
+a stage adds for itself gets a free name. Null and empty texts go through as
+empty ones, unless the classifier rejects them; rows that repeat a kept id stay
+or go together; an empty table goes through all stages as one. Texts are
+treated whole, however long.
 """
 
 from __future__ import annotations
@@ -17,34 +20,39 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracegrid.llm import bpe, decontaminate, gam, jaccard, linededup
-from tracegrid.llm.common import saved
+from tracegrid.llm.common import free_name, saved
 from tracegrid.llm.queries import RANKS, remainder, table
 
 THRESHOLD = 0.3
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    model = gam.fit(docs, table(spark, sf_dir, "labels").filter(remainder(5) != 0))
-    return gam.score(docs, model, out="_score").filter(F.col("_score") >= THRESHOLD).select(*docs.columns)
+    """Documents of a score of at least THRESHOLD; the labels' ids are matched, no column is an input."""
+    model, out = gam.fit(docs, table(spark, sf_dir, "labels").filter(remainder(5) != 0)), free_name(docs, "score")
+    return gam.score(docs, model, out=out).filter(F.col(out) >= THRESHOLD).drop(out)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without repeated passages; ``n_chars`` follows where lines went, and a text left blank goes."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-    out = linededup.dedup(spark, docs).filter((F.col("n_removed") == 0) | (F.trim("text") != ""))
-    changed = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
-    return out.withColumn("n_chars", changed).select(*docs.columns)
+    counts = free_name(docs, "n_lines"), free_name(docs, "n_removed")
+    removed = F.col(counts[1]) > 0
+    out = linededup.dedup(spark, docs, counts=counts).filter(~removed | F.col("text").rlike(r"\S"))
+    return out.withColumn("n_chars", F.when(removed, F.length("text").cast("long")).otherwise(F.col("n_chars"))).drop(*counts)
 
 
 def copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    # near copies in the sense of a corpus: five words at 0.8 (op5's query has its own values)
+    """One document of each group of near copies, that of smallest id: five words at 0.8 (op5's query has its own values)."""
     return jaccard.keep_one(spark, docs, percent=80, width=5)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no benchmark item is found."""
     return decontaminate.clean(spark, docs, table(spark, sf_dir, "benchmark"))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, n_tokens, ids) of each document."""
     import public_tokenizers
 
     ids = bpe.encode(spark, docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
