@@ -3,7 +3,8 @@ import glob
 import duckdb
 import pytest
 
-from tracegrid.operators import expand, fields, groups, series, signal, tokens
+from tracegrid.functions import scalar
+from tracegrid.operators import expand, fields, grid, groups, series, signal, tokens
 from tracegrid.plans import registry
 from tracegrid.sources import files
 
@@ -106,11 +107,75 @@ def test_series_files(spark, tmp_path):
     assert len(glob.glob(str(tmp_path / "out" / "part-*"))) > 0
 
 
-@pytest.mark.parametrize("name", ["trigrams", "classify_groups", "promote_groups", "autocorr", "period_scores", "records"])
+def test_readers(spark, tmp_path):
+    def put(name, text):
+        (tmp_path / name).write_text(text)
+        return str(tmp_path / name)
+
+    doubles = lambda t: [r.value for r in files.read_doubles(spark, put("d.csv", t)).orderBy("idx").collect()]
+    assert doubles("idx,value,x\n0,1.5,9\n1,2.75,9\n2,no,9\n3,-1e3,9\n") == [1.5, 2.75, -1000.0]
+    assert doubles("0,1.5\n1,2\n") == [1.5, 2.0] and doubles("") == []
+    rle = files.read_rle(spark, put("r.csv", "sym,len\n91, 3\nonly 1\nrun 7 of -2 and 5\n")).orderBy("line").collect()
+    assert [(r.sym, r.run_len) for r in rle] == [(91, 3), (7, -2)]
+    samples = lambda t: [r.sample for r in files.read_samples(spark, put("s.csv", t)).orderBy("idx").collect()]
+    assert samples("a,b,c\n1,10,3\n2,x,3\n3,30,3\n") == [10, 30] and samples("a,b,Level\n1,10,300\n") == [300] and samples("q\n5\n") == [5]
+    (tmp_path / "cycles").mkdir()
+    put("cycles/cycle_07_tokens.csv", "i,t\n0,200\n1,100\n")
+    assert [(r.cycle, r.pos, r.sym) for r in files.read_cycles(spark, str(tmp_path / "cycles" / "*.csv")).orderBy("pos").collect()] == [(7, 0, 200), (7, 1, 100)]
+    grid_file = put("stage12_grid_cycle_03_period_003.csv", "c0,c1,c2\n1,2,0x10\n4,5,6\n")
+    got = files.read_grid(spark, grid_file).orderBy("row", "col").collect()
+    assert [(r.cycle, r.row, r.col, r.value) for r in got] == [("cycle_03", 0, 0, 1), ("cycle_03", 0, 1, 2), ("cycle_03", 0, 2, 16), ("cycle_03", 1, 0, 4), ("cycle_03", 1, 1, 5), ("cycle_03", 1, 2, 6)]
+    layout = files.read_layout(spark, put("l.csv", "cycle,startCol,widthCols,kind,valid,reason,notes\nc,3,2,U16_LE,true,ok,\nc,5,1,CONST,False,no,\n"))
+    assert [(r.start_col, r.width, r.valid) for r in layout.orderBy("start_col").collect()] == [(3, 2, True), (5, 1, False)]
+    assert sorted(r.level for r in files.read_levels(spark, put("v.csv", "idx,level\n0,4\n1,4\n2,9\n")).collect()) == [4, 9]
+    assert files.best_period(spark, put("b.txt", "seriesLen=9\nBEST=period=39 score=1\nperiod=4\n")).first().period == 39
+    assert files.period_of_names(spark, str(tmp_path / "*_period_*.csv")).first().period == 3
+    for text, want in (("idx,value\n1,5\n0,4\n", [("series", 0, 4), ("series", 1, 5)]), ("cycle,idx,value\nb,1,8\nb,0,7\na,4,1\n", [("a", 0, 1), ("b", 0, 7), ("b", 1, 8)])):
+        assert sorted((r.cycle, r.idx, r.value) for r in files.read_series(spark, put("f.csv", text)).collect()) == want
+
+
+def test_empty_series(spark):
+    none = spark.createDataFrame([], "stream long, idx long, value int")
+    assert [f(none).count() for f in (signal.histogram, signal.autocorrelation, signal.dft)] == [0, 0, 0]
+    assert signal.peaks(signal.autocorrelation(none), signal.dft(none)).count() == 0
+
+
+def test_candidates_in_order(spark):
+    s = spark.createDataFrame([("a", i, 1) for i in range(12)], "cycle string, idx long, value int")
+    got = [r.period for r in grid.candidates(s, first=(4,), extra=(6, 5, 9), remainder=True).orderBy("ord").collect()]
+    assert got == [4, 2, 3, 6, 12, 5, 9]
+
+
+def test_next_offsets(spark):
+    values = [8192 * k for k in (5, 1, 9, 9, 700, 40, 41)] + [None]
+    got = scalar.next_offsets(spark.createDataFrame([(v,) for v in values], "off long"), "off").orderBy("off").collect()
+    own = sorted(set(values) - {None})
+    assert [(r.off, r.next_off) for r in got] == list(zip(own, [*own[1:], None]))
+
+
+def test_export_prefers_the_series(spark):
+    rows = spark.createDataFrame([("a", 0, "x", 1), ("a", 0, "y", 2), ("a", 1, "x", 3)], "cycle string, row long, field string, value long")
+    wide, n = fields.final_export(rows)
+    assert wide.columns == ["cycle", "x", "y"] and n.first() == (2, 3)
+    wide, n = fields.final_export(rows, rows.filter("field = 'y'"))
+    assert wide.columns == ["y"] and n.first() == (1, 1)
+    wide, n = fields.final_export(rows.limit(0))
+    assert wide.columns == ["idx"] and n.first() == (0, 1)
+
+
+def sql_tables(con):
+    for t in ("events", "lineitem", "part", "orders", "customer", "nation"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
+
+
+@pytest.mark.parametrize("name", [
+    "trigrams", "classify_groups", "promote_groups", "autocorr", "period_scores", "records", "merge_padding_85", "cycles_typed", "cycle_extract_typed", "stage_compare", "validate_edited", "reverse_bits", "first_int",
+    "segment_tag", "lens_in_range", "dense_without_fill", "dense_diagnostics", "code_length_hist", "header_checks", "record_checks", "group_schema", "final_export_counts", "decode_msb", "decode_lsb", "divisors",
+    "period_candidates", "token_counts", "resolved_period", "manifest",
+])
 def test_sql(spark, name):
     con = duckdb.connect()
-    for t in ("events", "lineitem", "part", "orders", "customer"):
-        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
+    sql_tables(con)
     ours = registry.queries()[name](spark, DATA).toPandas()
     theirs = con.execute(registry.oracle_sql()[name]).df()
     cols = sorted(ours.columns)
@@ -120,7 +185,7 @@ def test_sql(spark, name):
 
 def test_divisors_of_the_whole_table(spark):
     data = DATA.replace("0.001", "0.1")
-    rows = registry.queries()["divisors_all"](spark, data).collect()
+    rows = registry.queries()["divisors"](spark, data).collect()
     keys = [r.p_partkey for r in spark.read.parquet(f"{data}/part.parquet").select("p_partkey").collect()]
     found = {n: [] for n in range(max(keys) + 1)}
     for d in range(2, max(keys) + 1):

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 # The record's layout and the heuristics' bounds
 RECORD = 8192
@@ -155,6 +156,32 @@ def search(records: DataFrame) -> DataFrame:
     return records.mapInArrow(run, f"{schema}, table struct<{TABLE}>, error string")
 
 
+def length_histogram(tables: DataFrame, *keys: str, lens: str = "table.lens") -> DataFrame:
+    """(keys, len, count, max_len, used) of the code lengths of each row of ``tables``: how many symbols
+    have each length, the longest one, and how many symbols are used."""
+    rows = tables.select(*keys, F.col(lens).alias("lens"))
+    rows = rows.select(*keys, F.array_max("lens").alias("max_len"), F.size(F.filter("lens", lambda n: n > 0)).alias("used"), F.explode("lens").alias("len"))
+    return rows.groupBy(*keys, "len", "max_len", "used").agg(F.count("*").alias("count"))
+
+
+def decode_with(assembled: DataFrame, lsb: bool = False, inverted: bool = False, shift: int = 0, by_symbol: bool = False, reverse: bool = False, strict: bool = False, limit: int | None = None) -> DataFrame:
+    """(stream, tokens, last_length): ``assembled(stream, data, symbols, lens, bits)`` decoded in one given
+    way. Symbols may be of 8 or 16 bits; codes of one length follow the input's order or the symbols'
+    (``by_symbol``) and are read from either end (``reverse``); bits that are no code end a stream, or
+    with ``strict`` the job."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = [
+                decode(bits_of(data, lsb, inverted, shift, bits), codes(symbols, lens, by_symbol, reverse), limit, strict)
+                for data, symbols, lens, bits in zip(*(b.column(c).to_pylist() for c in ("data", "symbols", "lens", "bits")))
+            ]
+            yield pa.RecordBatch.from_arrays([b.column("stream"), pa.array([t for t, _ in got], pa.list_(pa.int32())), pa.array([n[-1] if n else None for _, n in got], pa.int32())], names=["stream", "tokens", "last_length"])
+
+    kind = dict(assembled.dtypes)["stream"]
+    return assembled.select("stream", "data", "symbols", "lens", "bits").mapInArrow(run, f"stream {kind}, tokens array<int>, last_length int")
+
+
 def decode_streams(assembled: DataFrame, prefix: int = 256) -> DataFrame:
     """``assembled(stream, data, symbols, lens, bits)`` with the chosen configuration, its score and the symbols."""
 

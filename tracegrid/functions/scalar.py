@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+SPANS = 1024
+
+
 def low_byte(v: Column) -> Column:
     return v.bitwiseAND(255)
 
@@ -15,11 +18,6 @@ def nibbles(v: Column) -> tuple[Column, Column]:
     return F.shiftright(low_byte(v), 4), v.bitwiseAND(15)
 
 
-def u16(first: Column, second: Column, little: bool = True) -> Column:
-    a, b = low_byte(first), low_byte(second)
-    return a + b * 256 if little else b + a * 256
-
-
 def align(x: Column, to: int = 16) -> Column:
     """The next multiple of ``to``."""
     return x + F.pmod(-x, F.lit(to))
@@ -72,10 +70,16 @@ def coordinates(index: Column, n1: int | Column, n2: int | Column) -> tuple[Colu
 
 
 def next_offsets(offsets: DataFrame, column: str) -> DataFrame:
-    """Each distinct offset with the next higher one: a range-partitioned sort whose
-    partitions' first values, one row each, close the gaps between partitions."""
+    """Each distinct offset with the next higher one, null after the last: sorted inside SPANS equal
+    spans of the offsets, whose first values, one row in all, close the gaps between spans."""
     own = offsets.select(column).filter(F.col(column).isNotNull()).distinct()
-    return own.select(column, F.lead(column).over(Window.orderBy(column)).alias(f"next_{column}"))
+    ends = own.agg(F.min(column).alias("_low"), F.max(column).alias("_high"))
+    width = F.ceil((F.col("_high") - F.col("_low") + 1) / SPANS)
+    dealt = own.crossJoin(F.broadcast(ends)).select(column, F.floor((F.col(column) - F.col("_low")) / width).alias("_span"))
+    firsts = dealt.groupBy("_span").agg(F.min(column).alias("_first")).agg(F.collect_list("_first").alias("_firsts"))
+    later = F.array_min(F.filter("_firsts", lambda x: x > F.col(column)))
+    rows = dealt.withColumn("_next", F.lead(column).over(Window.partitionBy("_span").orderBy(column))).crossJoin(F.broadcast(firsts))
+    return rows.select(column, F.coalesce("_next", F.when(F.col("_next").isNull(), later)).alias(f"next_{column}"))
 
 
 def in_range(lens: Column, high: int = 15) -> Column:

@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..config import PERIODS
+from ..config import PERIODS, PREFERRED
+from ..functions.scalar import divisors
 
 
 def lengths(series: DataFrame) -> DataFrame:
@@ -18,12 +19,11 @@ def lengths(series: DataFrame) -> DataFrame:
 
 
 def candidates(series: DataFrame, first: tuple[int, ...] = PERIODS, extra: tuple[int, ...] = (), remainder: bool = False) -> DataFrame:
-    """(ord, period, n): fixed candidates, ``extra`` ones, then the divisors of the
-    longest length n; only p > 1 that divide n (any p <= n with ``remainder``) into several rows."""
+    """(ord, period, n): fixed candidates, the divisors of the longest length n, then ``extra``
+    ones; only p > 1 that divide n (any p <= n with ``remainder``) into several rows."""
     longest = lengths(series).agg(F.max("n").alias("n"))
-    divisors = F.filter(F.sequence(F.lit(2).cast("bigint"), F.greatest(F.col("n"), F.lit(2))), lambda d: F.col("n") % d == 0)
-    fixed = F.array(*(F.lit(p).cast("bigint") for p in (*first, *extra)))
-    every = longest.select("n", F.posexplode(F.array_distinct(F.concat(fixed, divisors))).alias("ord", "period"))
+    fixed, more = (F.array(*(F.lit(p).cast("bigint") for p in ps)).cast("array<bigint>") for ps in (first, extra))
+    every = longest.select("n", F.posexplode(F.array_distinct(F.concat(fixed, divisors(F.col("n")), more))).alias("ord", "period"))
     fits = (F.col("period") <= F.col("n")) if remainder else ((F.col("n") % F.col("period") == 0) & (F.col("n") / F.col("period") > 1))
     return every.filter((F.col("period") > 1) & fits).select(F.col("ord").cast("bigint").alias("ord"), "period", "n")
 
@@ -76,9 +76,22 @@ def best(totals_: DataFrame) -> DataFrame:
     return totals_.orderBy(F.desc("total"), "ord").limit(1).select("period", "total")
 
 
-def long_grid(series: DataFrame, period: int) -> DataFrame:
-    """(cycle, row, col, value) with the tail that fills no row dropped."""
-    rows = series.join(lengths(series), "cycle").filter(F.col("idx") < F.floor(F.col("n") / period) * period)
+def resolve(best_: DataFrame, series: DataFrame) -> DataFrame:
+    """(period): the best one if there is one over 1, else a preferred divisor of the longest length, else that length."""
+    n = lengths(series).agg(F.max("n").alias("n")).select("n", divisors(F.col("n")).alias("d"))
+    liked = F.array(*(F.lit(p).cast("bigint") for p in PREFERRED))
+    spare = n.select(F.coalesce(F.get(F.filter(liked, lambda p: F.array_contains("d", p)), F.lit(0)), F.get("d", F.size("d") - 1)).alias("spare"))
+    found = best_.filter("period > 1").agg(F.max("period").alias("found"))
+    # both are one row
+    return spare.crossJoin(F.broadcast(found)).select(F.coalesce("found", "spare").cast("bigint").alias("period")).filter("period is not null")
+
+
+def long_grid(series: DataFrame, period: int | DataFrame) -> DataFrame:
+    """(cycle, row, col, value) with the tail that fills no row dropped; the period is a number or a table of one row."""
+    rows = series.join(lengths(series), "cycle")
+    if isinstance(period, DataFrame):
+        rows, period = rows.crossJoin(F.broadcast(period.select(F.col("period").alias("_p")))), F.col("_p")
+    rows = rows.filter(F.col("idx") < F.floor(F.col("n") / period) * period)
     return rows.select("cycle", F.floor(F.col("idx") / period).cast("bigint").alias("row"), (F.col("idx") % period).cast("bigint").alias("col"), "value")
 
 

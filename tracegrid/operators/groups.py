@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import CONTROL, CONTROL_SYMBOLS, FILL, MARK, PARAM, RARE, SOFT, STRONG
-from .tokens import in_order, top
+from .tokens import NAMES, in_order, top, top_ngrams
 
 RUNNING = (Window.unboundedPreceding, 0)
 
@@ -44,10 +44,11 @@ def _group_facts(groups: DataFrame) -> DataFrame:
 def merge_padding(groups: DataFrame, threshold: float) -> DataFrame:
     """A group whose fill density reaches ``threshold`` joins the one before it. The
     density is that of the group as split, so a running sum decides."""
-    facts = _group_facts(groups).select("stream", "sg", "density")
-    opens = ((F.col("sg") == 0) | (F.col("density") < threshold)).cast("int")
-    to = facts.withColumn("to", F.sum(opens).over(Window.partitionBy("stream").orderBy("sg").rowsBetween(*RUNNING)))
-    return _numbered(groups.join(to.select("stream", "sg", "to"), ["stream", "sg"]).drop("sg"), F.col("to"))
+    density = F.avg((F.col("sym") == FILL).cast("double")).over(Window.partitionBy("stream", "sg"))
+    rows = groups.withColumn("_density", density)
+    opens = ((F.col("gpos") == 0) & ((F.col("sg") == 0) | (F.col("_density") < threshold))).cast("int")
+    to = F.sum(opens).over(Window.partitionBy("stream").orderBy("sg", "gpos").rowsBetween(*RUNNING))
+    return _numbered(rows.withColumn("_to", to).drop("sg"), F.col("_to"))
 
 
 def promote(groups: DataFrame) -> DataFrame:
@@ -159,6 +160,18 @@ def dense_streams(groups: DataFrame, symbols: tuple[int, ...] = (PARAM, FILL, CO
     return groups.groupBy("stream").agg(((F.max("sg") == 0) & ~F.bool_or(F.col("sym").isin(*symbols))).alias("dense"))
 
 
+def dense_diagnostics(tok: DataFrame, symbols: tuple[int, ...] = (PARAM, FILL, CONTROL, MARK, SOFT, STRONG), k: int = 12, grams: int = 8) -> DataFrame:
+    """(stream, kind, rank, item, count) of dense streams: the commonest symbols, pairs and triples."""
+    dense = dense_streams(split(tok), symbols).filter("dense").select("stream")
+    mine = tok.join(dense, "stream", "left_semi")
+    out = top(mine.groupBy("stream", "sym").agg(F.count("*").alias("count")), k, (F.desc("count"), "sym")).select("stream", F.lit("symbol").alias("kind"), "rank", F.col("sym").cast("string").alias("item"), "count")
+    for n, kind in ((2, "pair"), (3, "triple")):
+        names = NAMES[:n]
+        best = top_ngrams(mine, n, grams)
+        out = out.unionByName(best.select("stream", F.lit(kind).alias("kind"), "rank", F.concat_ws(" ", *(F.col(c).cast("string") for c in names)).alias("item"), "count"))
+    return out
+
+
 def trace(tok: DataFrame, chunk: int = 8) -> DataFrame:
     """Runs of fills, and chunks of at most ``chunk`` other tokens, which restart after each fill run."""
     w = in_order()

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import huffman, scalar
+from ..sources.segment_grid import first_segment
 
 
 def header_checks(header: DataFrame) -> DataFrame:
@@ -33,3 +34,14 @@ def assembly_checks(assembled: DataFrame) -> DataFrame:
 
     seen = preview("data", "symbols", "lens")
     return assembled.select("stream", (F.length("data") * 8 >= F.col("bits")).alias("ok"), (seen < 8).alias("warn"))
+
+
+def verdict(header: DataFrame, tables: DataFrame, assembled: DataFrame) -> DataFrame:
+    """(path, segment, header_ok, record_ok, assembly_ok, ok) of a file's first non-empty segment; a file
+    without one, or with an empty header row, is not ok."""
+    first = first_segment(tables)
+    records = record_checks(first).select("path", scalar.segment_tag(F.col("s1"), F.col("s2"), F.col("s3")).alias("segment"), F.col("ok").alias("record_ok"))
+    bits = assembly_checks(assembled).select(F.col("stream").alias("segment"), F.col("ok").alias("assembly_ok"))
+    rows = header_checks(header).select("path", F.col("ok").alias("header_ok")).join(records, "path", "left").join(bits, "segment", "left")
+    ok = F.coalesce(F.col("header_ok") & F.col("record_ok") & F.col("assembly_ok"), F.lit(False))
+    return rows.select("path", "segment", "header_ok", "record_ok", "assembly_ok", ok.alias("ok"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,22 +21,23 @@ def histogram(series: DataFrame, bins: int = 64) -> DataFrame:
 
 
 def autocorrelation(series: DataFrame, limit: int = 256) -> DataFrame:
-    """Biased autocorrelation of lags 0..max(4, min(limit, n/2)), at most n-1, lag 0 at least:
-    an equi-join of each value with that ``lag`` later."""
-    per = Window.partitionBy("stream")
-    rows = series.withColumn("x", F.col("value") - F.avg("value").over(per)).withColumn("n", F.count("*").over(per))
-    rows = rows.withColumn("v", F.sum(F.col("x") * F.col("x")).over(per))
-    most = F.greatest(F.least(F.greatest(F.lit(4), F.least(F.lit(limit), F.floor(F.col("n") / 2))), F.col("n") - 1), F.lit(0))
-    left = rows.withColumn("lag", F.explode(F.sequence(F.lit(0).cast("bigint"), most.cast("bigint")))).withColumn("to", F.col("idx") + F.col("lag"))
-    right = rows.select(F.col("stream").alias("s2"), F.col("idx").alias("to2"), F.col("x").alias("x2"))
-    both = left.join(right, (left["stream"] == right["s2"]) & (left["to"] == right["to2"]))
-    total = F.sum(F.col("x") * F.col("x2")) / F.first(F.when(F.col("v") > 0, F.col("v")).otherwise(F.lit(1e-12)))
-    return both.groupBy("stream", "lag").agg((F.round(total, 6) + 0.0).alias("autocorr"))
+    """Biased autocorrelation of lags 0..max(4, min(limit, n/2)), at most n-1, lag 0 at least;
+    by NumPy in one task a stream, as a join would carry each sample once a lag."""
+
+    def lags(part: pd.DataFrame) -> pd.DataFrame:
+        x = part.sort_values("idx")["value"].to_numpy(float)
+        x = x - x.mean()
+        n = len(x)
+        most = max(min(max(4, min(limit, n // 2)), n - 1), 0)
+        power = float(x @ x) or 1e-12
+        got = np.array([x[: n - k] @ x[k:] for k in range(most + 1)]) / power
+        return pd.DataFrame({"stream": part["stream"].iloc[0], "lag": np.arange(most + 1), "autocorr": np.round(got, 6) + 0.0})
+
+    return series.select("stream", "idx", "value").groupBy("stream").applyInPandas(lags, f"stream {dict(series.dtypes)['stream']}, lag long, autocorr double")
 
 
 def dft(series: DataFrame, all_bins: bool = False) -> DataFrame:
     """(stream, k, freq, magnitude) for k = 0..n/2 (or all), by NumPy's FFT in one task a stream."""
-    import numpy as np
 
     def spectrum(part: pd.DataFrame) -> pd.DataFrame:
         x = part.sort_values("idx")["value"].to_numpy(float)
@@ -45,7 +46,7 @@ def dft(series: DataFrame, all_bins: bool = False) -> DataFrame:
         k = np.arange(len(got))
         return pd.DataFrame({"stream": part["stream"].iloc[0], "k": k, "freq": np.round(k / n, 6), "magnitude": np.round(got, 6) + 0.0})
 
-    return series.select("stream", "idx", "value").groupBy("stream").applyInPandas(spectrum, "stream long, k long, freq double, magnitude double")
+    return series.select("stream", "idx", "value").groupBy("stream").applyInPandas(spectrum, f"stream {dict(series.dtypes)['stream']}, k long, freq double, magnitude double")
 
 
 def dft_joined(series: DataFrame) -> DataFrame:

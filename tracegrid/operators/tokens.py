@@ -92,3 +92,8 @@ def heuristics(tok: DataFrame, bits: int = 8) -> DataFrame:
 
 def sample(tok: DataFrame, n: int = 256) -> DataFrame:
     return top(tok.select("stream", "pos", "sym"), n, ("pos",)).drop("rank")
+
+
+def symbol_counts(tok: DataFrame, symbols: tuple[int, ...] = (0, 1)) -> DataFrame:
+    """Distinct symbols of each stream, and how often some occur (n_0 and n_1: zeros and ones)."""
+    return tok.groupBy("stream").agg(F.countDistinct("sym").alias("unique_symbols"), *(F.count_if(F.col("sym") == s).alias(f"n_{s}") for s in symbols))

@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import functions as F
 
-from ..functions import scalar
-from ..operators import expand, fields, grid, groups, series, signal, tokens
-from .views import TOK, USR, ser, ser_sql, table, tok, usr, usr_cycles
+from ..functions import huffman, scalar
+from ..operators import expand, fields, grid, groups, quality, series, signal, tokens
+from ..sources import sinks
+from .views import CYCLES, TOK, USR, cycles_of_types, ser, ser_sql, table, tok, usr, usr_cycles
 
 _QUERIES: dict[str, Callable] = {}
 _SQL: dict[str, str] = {}
@@ -140,6 +141,37 @@ query("cycle_extract", f"""WITH {M85}, {FEAT}, {TYPED}, w5 AS (SELECT stream, co
 SELECT stream, CAST(0 AS BIGINT) AS cycle, sg, type, gpos, sym FROM m JOIN w5 USING (stream) JOIN (SELECT stream, sg, type FROM ty) USING (stream, sg) WHERE sg >= start AND sg < start + 5""")(
     over(tok, lambda t: groups.extract_cycles(merged(0.85)(t), typed(t)))
 )
+TYPES = f"{CYCLES}, {split_sql('251')}, m AS (SELECT * FROM g), {FEAT}, {TYPED}"
+query("cycles_typed", f"""WITH {TYPES}, hit AS (SELECT stream, sg, type = 'A' AND lead(type) OVER w = 'B' AND lead(type, 2) OVER w = 'C' AND lead(type, 3) OVER w = 'D' AND lead(type, 4) OVER w = 'E' AS h FROM ty {_CYC})
+SELECT stream, row_number() OVER (PARTITION BY stream ORDER BY sg) - 1 AS cycle, sg AS start, CAST(5 AS BIGINT) AS len FROM hit WHERE h""")(
+    over(cycles_of_types, lambda t: groups.cycles(groups.classify(groups.features(groups.split(t)))))
+)
+query("cycle_extract_typed", f"""WITH {TYPES}, hit AS (SELECT stream, sg, type = 'A' AND lead(type) OVER w = 'B' AND lead(type, 2) OVER w = 'C' AND lead(type, 3) OVER w = 'D' AND lead(type, 4) OVER w = 'E' AS h FROM ty {_CYC}),
+cy AS (SELECT stream, row_number() OVER (PARTITION BY stream ORDER BY sg) - 1 AS cycle, sg AS start FROM hit WHERE h),
+sp AS (SELECT * FROM cy UNION ALL SELECT stream, 0, coalesce(min(sg) FILTER (WHERE type = 'A'), 0) FROM ty WHERE stream NOT IN (SELECT stream FROM cy) GROUP BY stream)
+SELECT stream, cycle, sg, type, gpos, sym FROM m JOIN sp USING (stream) JOIN (SELECT stream, sg, type FROM ty) USING (stream, sg) WHERE sg >= start AND sg < start + 5""")(
+    over(cycles_of_types, lambda t: groups.extract_cycles(groups.split(t), groups.classify(groups.features(groups.split(t)))))
+)
+query("dense_without_fill", f"WITH {TOK}, {split_sql('251')} SELECT stream, max(sg) = 0 AND NOT bool_or(sym IN (63,195,210,249)) AS dense FROM g GROUP BY stream")(over(tok, lambda t: groups.dense_streams(groups.split(t), (63, 195, 210, 249))))
+_DENSE = "dn AS (SELECT stream FROM tok GROUP BY stream HAVING NOT bool_or(sym IN (63, 249))), tok2 AS (SELECT * FROM tok WHERE stream IN (SELECT stream FROM dn))"
+_D1 = ranked("stream", "count DESC, sym", "(SELECT stream, sym, count(*) AS count FROM tok2 GROUP BY ALL)", 12)
+_D2 = ranked("stream", "count DESC, a, b", f"(SELECT stream, a, b, count(*) AS count FROM (SELECT stream, sym AS a, lead(sym) {W} AS b FROM tok2) WHERE b IS NOT NULL GROUP BY ALL)", 8)
+_D3 = ranked("stream", "count DESC, a, b, c", f"(SELECT stream, a, b, c, count(*) AS count FROM (SELECT stream, sym AS a, lead(sym) {W} AS b, lead(sym, 2) {W} AS c FROM tok2) WHERE c IS NOT NULL GROUP BY ALL)", 8)
+query("dense_diagnostics", f"""WITH {TOK.replace('251 ELSE', '210 ELSE')}, {_DENSE} SELECT stream, 'symbol' AS kind, rank, CAST(sym AS VARCHAR) AS item, count FROM ({_D1})
+UNION ALL SELECT stream, 'pair', rank, a || ' ' || b, count FROM ({_D2}) UNION ALL SELECT stream, 'triple', rank, a || ' ' || b || ' ' || c, count FROM ({_D3})""")(
+    over(tok, lambda t: groups.dense_diagnostics(t.withColumn("sym", F.when(F.col("sym") == 251, 210).otherwise(F.col("sym"))), (63, 249)))
+)
+_JSON = "array_to_string(list_transform({0}, lambda x: CAST(x AS VARCHAR)), ',')"
+query("group_schema", f"""WITH {M85}, {FEAT}, {TYPED}, tc AS ({ranked("stream, sg", "count DESC, sym", "(SELECT stream, sg, sym, count(*) AS count FROM m GROUP BY ALL)", 12)}),
+tj AS (SELECT stream, sg, string_agg(printf('{{"sym":%d,"count":%d}}', sym, count), ',' ORDER BY rank) FILTER (WHERE rank <= 8) AS top, string_agg(printf('{{"sym":%d,"count":%d}}', sym, count), ',' ORDER BY rank) AS wide FROM tc GROUP BY ALL),
+hit AS (SELECT stream, sg, type = 'M' AND lead(type) OVER w = 'M' AND lead(type, 2) OVER w = 'D?' AS h FROM ty {_CYC}),
+cj AS (SELECT stream, string_agg(printf('{{"start":%d,"len":3}}', sg), ',' ORDER BY sg) FILTER (WHERE h) AS cycles FROM hit GROUP BY stream),
+gj AS (SELECT stream, string_agg('{{"index":' || sg || ',"type":"' || type || '","size":' || size || ',"fillPct":"' || printf('%.4f', density) || '","bestRun91":' || best_run || ',"pos63":[' || {_JSON.format('at_param')} || '],"pos195":[' || {_JSON.format('at_control')} ||
+  '],"pos210":[' || {_JSON.format('at_mark')} || '],"pos61":[' || {_JSON.format('at_rare')} || '],"count249":' || soft || ',"has195Pair":' || pair || ',"top":[' || top || ']}}', ',' ORDER BY sg) AS groups,
+  count(*) = 1 AND bool_and(len(at_param) + len(at_control) + len(at_mark) + soft = 0) AS dense, first(wide) AS wide, sum(size) AS n FROM ty JOIN tj USING (stream, sg) GROUP BY stream)
+SELECT stream, '{{' || CASE WHEN dense THEN '"denseSummary":{{"topSymbols":[' || wide || '],"countSymbols":' || n || '}},' ELSE '' END || '"superGroups":[' || groups || '],"cycles":[' || coalesce(cycles, '') || ']}}' AS json FROM gj JOIN cj USING (stream)""")(
+    over(tok, lambda t: sinks.group_schema(ty := typed(t), groups.cycles(ty, ["M", "M", "D?"]), merged(0.85)(t)))
+)
 query("group_topk", f"WITH {M85}, c AS (SELECT stream, sg, sym, count(*) AS count FROM m GROUP BY ALL) " + ranked("stream, sg", "count DESC, sym", "c", 6))(over(tok, lambda t: groups.top_symbols(merged(0.85)(t), 6)))
 query("group_size_summary", f"""WITH {M70}, s AS (SELECT stream, sg, count(*) AS size FROM m GROUP BY ALL)
 SELECT stream, count(*) AS groups, min(size) AS min_size, quantile_cont(size, 0.5) AS median_size, round(avg(size), 6) AS mean_size, max(size) AS max_size FROM s GROUP BY stream""")(over(tok, lambda t: groups.size_summary(merged(0.7)(t))))
@@ -164,11 +196,14 @@ query("op_stats", f"""WITH {OPS} SELECT stream, count(*) AS ops, count(*) FILTER
   CAST(coalesce(max(run_len) FILTER (WHERE kind = 'RUN91'), 0) AS BIGINT) AS best_run, CAST(coalesce(sum(run_len) FILTER (WHERE kind = 'RUN91'), 0) AS BIGINT) AS total_run FROM ops GROUP BY stream""")(over(tok, lambda t: expand.stats(expand.ops(t))))
 query("rebuild_samples", f"WITH {SAMPLES} SELECT * FROM sm")(over(tok, lambda t: expand.rebuild(expand.ops(t))))
 query("cycle_counts", f"WITH {TOK} SELECT stream, count(*) AS samples FROM tok GROUP BY stream")(over(tok, lambda t: expand.counts(expand.rebuild(expand.ops(t)))))
-query("stage_compare", f"WITH {TOK} SELECT stream, count(*) AS left_samples, count(*) AS right_samples, true AS equal FROM tok GROUP BY stream")(over(tok, lambda t: expand.compare(expand.samples(t), expand.rebuild(expand.ops(t)))))
+query("stage_compare", f"WITH {SAMPLES}, lost AS (SELECT * FROM sm WHERE NOT (stream % 3 = 0 AND idx = 2)) SELECT l.stream, l.n AS left_samples, r.n AS right_samples, coalesce(l.n = r.n, false) AS equal FROM (SELECT stream, count(*) AS n FROM sm GROUP BY stream) l LEFT JOIN (SELECT stream, count(*) AS n FROM lost GROUP BY stream) r ON l.stream = r.stream")(
+    over(tok, lambda t: expand.compare(expand.samples(t), expand.rebuild(expand.ops(t)).filter("not (stream % 3 = 0 and idx = 2)")))
+)
+query("token_counts", f"WITH {TOK} SELECT stream, count(DISTINCT sym) AS unique_symbols, count(*) FILTER (WHERE sym = 61) AS n_61, count(*) FILTER (WHERE sym = 63) AS n_63 FROM tok GROUP BY stream")(over(tok, lambda t: tokens.symbol_counts(t, (61, 63))))
 
 # ---------------------------------------------------------------- series
 
-SER, SER78 = ser_sql(), ser_sql(78)
+SER, SER78 = ser_sql(), ser_sql(78, whole=False)
 LEVELS = "lv AS (SELECT level, level * 2 + 1 AS mapped FROM range(0, 200) t(level) WHERE level % 3 <> 0)"
 
 
@@ -235,7 +270,8 @@ def profiled(s):
     return grid.profiles(grid.reshape(s, grid.candidates(s)))
 
 
-query("period_candidates", f"WITH {SER78}, {candidates_sql()} SELECT ord, period, n FROM cand")(lambda s, d: grid.candidates(ser(s, d, 78)))
+query("period_candidates", f"WITH {SER78}, {candidates_sql()} SELECT ord, period, n FROM cand")(lambda s, d: grid.candidates(ser(s, d, 78, whole=False)))
+query("resolved_period", f"WITH {SER78} SELECT CAST(78 AS BIGINT) AS period FROM ser WHERE idx = 0 LIMIT 1")(lambda s, d: grid.resolve(s.createDataFrame([], "period long, total double"), ser(s, d, 78, whole=False)))
 query("col_profile", f"WITH {SER}, {FITS}, {PROFILE} SELECT * FROM pr")(over(ser, profiled))
 query("period_scores", f"WITH {SER}, {FITS}, {PROFILE} SELECT * FROM sc")(over(ser, lambda s: grid.scores(profiled(s))))
 query("best_period", f"WITH {SER}, {FITS}, {PROFILE} SELECT period, round(sum(score), 3) AS total FROM sc GROUP BY ord, period ORDER BY total DESC, ord LIMIT 1")(over(ser, lambda s: grid.best(grid.totals(grid.scores(profiled(s))))))
@@ -277,12 +313,33 @@ def sample_grid(spark, sf_dir):
 
 
 def laid_out(g):
-    return fields.validate(fields.infer(g), g)
+    known = fields.facts(g)
+    return fields.validate(fields.infer(g, known), g, known)
+
+
+def edited(layout):
+    """A layout as an editor may leave it: wrong kinds and widths, columns out of bounds."""
+    c = F.col("start_col")
+    return layout.select(
+        "cycle", F.when(c == 24, c + 1).otherwise(c).alias("start_col"), F.when(c % 5 == 0, 3).otherwise(F.col("width")).cast("bigint").alias("width"),
+        F.when(c % 7 == 1, "COUNTER").when(c % 7 == 2, "CONST").when(c % 7 == 4, "U16_BE").when(c == 9, "FLAG").when(c == 17, "OTHER").otherwise(F.col("kind")).alias("kind"),
+    )
 
 
 query("infer_fields", f"WITH {GRID}, {FACTS}, {LAYOUT} SELECT * FROM lay")(over(sample_grid, fields.infer))
 query("pair_scores", f"WITH {GRID}, {FACTS} SELECT * FROM pp")(over(sample_grid, fields.pair_scores))
 query("validate_layout", f"WITH {GRID}, {FACTS}, {LAYOUT} SELECT *, true AS valid, CASE WHEN kind = 'UNKNOWN' THEN 'not tested' ELSE 'ok' END AS reason FROM lay")(over(sample_grid, laid_out))
+query("validate_edited", f"""WITH {GRID}, {FACTS}, {LAYOUT}, ed AS (SELECT cycle, CASE WHEN start_col = 24 THEN 25 ELSE start_col END AS start_col, CAST(CASE WHEN start_col % 5 = 0 THEN 3 ELSE width END AS BIGINT) AS width,
+  CASE WHEN start_col % 7 = 1 THEN 'COUNTER' WHEN start_col % 7 = 2 THEN 'CONST' WHEN start_col % 7 = 4 THEN 'U16_BE' WHEN start_col = 9 THEN 'FLAG' WHEN start_col = 17 THEN 'OTHER' ELSE kind END AS kind FROM lay),
+ck AS (SELECT ed.*, CASE WHEN start_col < 0 OR start_col + width > 25 THEN 'out of bounds' WHEN kind LIKE 'U16%' AND width <> 2 THEN 'width must be 2' WHEN kind NOT IN ('CONST', 'FLAG', 'COUNTER', 'U16_LE', 'U16_BE') THEN 'not tested'
+  WHEN coalesce(CASE kind WHEN 'CONST' THEN constant WHEN 'FLAG' THEN bin01 OR bin0255 WHEN 'COUNTER' THEN mono AND step_var < 5 WHEN 'U16_LE' THEN le_var < 50 ELSE be_var < 50 END, false) THEN 'ok' ELSE 'test failed' END AS reason
+  FROM ed LEFT JOIN cf ON ed.cycle = cf.cycle AND start_col = cf.col LEFT JOIN ps ON ed.cycle = ps.cycle AND start_col = ps.col)
+SELECT cycle, start_col, width, kind, reason IN ('ok', 'not tested') AS valid, reason FROM ck""")(over(sample_grid, lambda g: fields.validate(edited(fields.infer(g)), g)))
+query("final_export_counts", f"WITH {GRID}, {FACTS}, {LAYOUT}, {RECORDS} SELECT (SELECT count(*) FROM (SELECT DISTINCT cycle, row FROM rec)) AS rows, (SELECT count(DISTINCT field) FROM rec) + 1 AS cols")(over(sample_grid, lambda g: fields.final_export(fields.records(g, laid_out(g)))[1]))
+query("manifest", f"""WITH {GRID}, {FACTS}, {LAYOUT}, ln AS (SELECT cycle, '[' || cycle || ']' || chr(10) || string_agg(printf('  - col %d..%d %-9s -> %s (%s)', start_col, start_col + width - 1, kind, 'OK', CASE WHEN kind = 'UNKNOWN' THEN 'not tested' ELSE 'ok' END), chr(10) ORDER BY start_col) AS t FROM lay GROUP BY cycle)
+SELECT '{{"baseDir":"out","outputs":{{"hist":"out/hist"}},"finalCsv":"out/final","bestPeriod":25,"layoutFinalTxt":[' || (SELECT string_agg('"' || replace(t, chr(10), '\\n') || '"', ',' ORDER BY cycle) FROM ln) || ']}}' AS json""")(
+    over(sample_grid, lambda g: sinks.manifest(g.sparkSession, "out", {"hist": "out/hist"}, g.sparkSession.range(1).select(F.lit(25).alias("period")), laid_out(g), "out/final"))
+)
 query("records", f"WITH {GRID}, {FACTS}, {LAYOUT}, {RECORDS} SELECT * FROM rec")(over(sample_grid, lambda g: fields.records(g, laid_out(g))))
 query("records_union", f"WITH {GRID}, {FACTS}, {LAYOUT}, {RECORDS} SELECT cycle, row, {', '.join(f'max(value) FILTER (WHERE field = {chr(39)}{n}{chr(39)}) AS {n}' for n in ('const_c03', 'flag_c06', 'counter_c08'))} FROM rec GROUP BY cycle, row")(
     over(sample_grid, lambda g: fields.wide_records(fields.records(g, laid_out(g)), ["const_c03", "flag_c06", "counter_c08"]))
@@ -318,11 +375,64 @@ query("lenient_int", "SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN o_order
         F.when(F.col("o_orderkey") % 4 == 0, F.col("o_orderkey").cast("string")).when(F.col("o_orderkey") % 4 == 1, F.concat(F.lit("0x"), F.lower(F.hex("o_orderkey")))).when(F.col("o_orderkey") % 4 == 2, F.lit("no number")).otherwise(F.lit("ab"))
     ).alias("v"))
 )
-query("divisors", "SELECT p_partkey, array_to_string(list_filter(range(2, p_partkey + 1), lambda d: p_partkey % d = 0), ',') AS divisors FROM part WHERE p_partkey <= 500")(
-    lambda s, d: table(s, d, "part").filter("p_partkey <= 500").select("p_partkey", F.array_join(F.transform(scalar.divisors(F.col("p_partkey")), lambda x: x.cast("string")), ",").alias("divisors"))
+query("divisors", """SELECT p_partkey, array_to_string(list_filter(list_sort(list_distinct(list_concat(l, list_transform(l, lambda d: p_partkey // d)))), lambda d: d > 1), ',') AS divisors
+FROM (SELECT p_partkey, list_filter(range(1, CAST(sqrt(p_partkey) AS BIGINT) + 2), lambda d: d * d <= p_partkey AND p_partkey % d = 0) AS l FROM part)""")(
+    lambda s, d: table(s, d, "part").select("p_partkey", F.array_join(F.transform(scalar.divisors(F.col("p_partkey")), lambda x: x.cast("string")), ",").alias("divisors"))
+)
+query("reverse_bits", "SELECT p_partkey, CAST(list_sum(list_transform(range(0, 12), lambda i: ((p_partkey >> i) & 1) << (11 - i))) AS BIGINT) AS reversed FROM part")(
+    lambda s, d: table(s, d, "part").select("p_partkey", scalar.reverse_bits(F.col("p_partkey") % 4096, 12).alias("reversed"))
 )
-# the whole table, as ``divisors`` and its SQL hold keys up to 500 only; a test compares with brute force
-query("divisors_all")(lambda s, d: table(s, d, "part").select("p_partkey", F.array_join(F.transform(scalar.divisors(F.col("p_partkey")), lambda x: x.cast("string")), ",").alias("divisors")))
+query("first_int", "SELECT c_custkey, CAST(nullif(regexp_extract(c_mktsegment || ' ' || c_name || ' -7', '([-+]?[0-9]+)', 1), '') AS BIGINT) AS v FROM customer")(
+    lambda s, d: table(s, d, "customer").select("c_custkey", scalar.first_int(F.concat_ws(" ", "c_mktsegment", "c_name", F.lit("-7"))).alias("v"))
+)
+query("segment_tag", "SELECT p_partkey, printf('seg_%02d_%02d_%02d', p_partkey % 5, p_partkey // 5 % 4, p_partkey // 20) AS tag FROM part")(
+    lambda s, d: table(s, d, "part").select("p_partkey", scalar.segment_tag(*(c.cast("int") for c in scalar.coordinates(F.col("p_partkey"), 5, 4))).alias("tag"))
+)
+
+
+def lens_of(top: int):
+    return F.transform(F.sequence(F.lit(1), F.lit(8)), lambda i: ((F.col("p_partkey") * i) % top).cast("int"))
+
+
+query("lens_in_range", f"SELECT p_partkey, list_max(l) <= 15 AS ok FROM (SELECT p_partkey, {_LENS.replace('% 7', '% 17')} AS l FROM part)")(lambda s, d: table(s, d, "part").select("p_partkey", scalar.in_range(lens_of(17)).alias("ok")))
+query("code_length_hist", f"SELECT p_partkey, CAST(n AS INTEGER) AS len, CAST(list_max(l) AS INTEGER) AS max_len, CAST(len(list_filter(l, lambda x: x > 0)) AS INTEGER) AS used, count(*) AS count FROM (SELECT p_partkey, l, unnest(l) AS n FROM (SELECT p_partkey, {_LENS} AS l FROM part)) GROUP BY ALL")(
+    lambda s, d: huffman.length_histogram(table(s, d, "part").select("p_partkey", lens_of(7).alias("lens")), "p_partkey", lens="lens")
+)
+query("header_checks", """WITH h AS (SELECT p_partkey, 1000 + p_partkey % 50 AS ot_pos, 1100 + p_partkey % 90 AS hdr_pos, 1024 + p_partkey % 7 AS hdr_len, p_partkey % 9 AS n_cells, 8190 + p_partkey % 3 AS rec_len, 2100 + p_partkey % 150 AS rec_pos_0 FROM part)
+SELECT CAST(p_partkey AS VARCHAR) AS path, ot_pos >= 1024 AND hdr_pos > ot_pos AND rec_pos_0 >= hdr_pos AND n_cells > 0 AS ok,
+  rec_len <> 8192 OR hdr_len NOT BETWEEN 1024 AND 65536 OR least(abs(rec_pos_0 - (ot_pos + n_cells * 8 + hdr_len)), abs(rec_pos_0 - (ot_pos + n_cells * 8 + hdr_len) - 8)) > 64 AS warn FROM h""")(
+    lambda s, d: quality.header_checks(table(s, d, "part").select(
+        F.col("p_partkey").cast("string").alias("path"), (1000 + F.col("p_partkey") % 50).alias("ot_pos"), (1100 + F.col("p_partkey") % 90).alias("hdr_pos"), (1024 + F.col("p_partkey") % 7).alias("hdr_len"),
+        (F.col("p_partkey") % 9).alias("n_cells"), (8190 + F.col("p_partkey") % 3).alias("rec_len"), (2100 + F.col("p_partkey") % 150).alias("rec_pos_0"),
+    ))
+)
+query("record_checks", f"""SELECT CAST(p_partkey AS VARCHAR) AS path, CAST(p_partkey % 5 AS INTEGER) AS s1, 0 AS s2, 0 AS s3, CAST(NULL AS VARCHAR) AS error,
+  coalesce(list_max(l) <= 15 AND list_max(l) > 0 AND list_sum(list_transform(l, lambda x: CASE WHEN x > 0 THEN CAST(2 ** (list_max(l) - x) AS BIGINT) ELSE 0 END)) <= CAST(2 ** list_max(l) AS BIGINT)
+  AND p_partkey % 4 >= 2 AND st >= 512 AND st % 16 = 0 AND 8192 - st BETWEEN 1 AND 8192 AND p_partkey % 11 > 0, false) AS ok FROM (SELECT p_partkey, p_partkey * 8 % 9000 AS st, {_LENS} AS l FROM part)""")(
+    lambda s, d: quality.record_checks(table(s, d, "part").select(
+        F.col("p_partkey").cast("string").alias("path"), (F.col("p_partkey") % 5).cast("int").alias("s1"), F.lit(0).alias("s2"), F.lit(0).alias("s3"), F.lit(None).cast("string").alias("error"),
+        F.struct(lens_of(7).alias("lens"), (F.col("p_partkey") % 4).alias("n"), (F.col("p_partkey") * 8 % 9000).alias("payload_start"), (F.col("p_partkey") % 11).alias("total_bits")).alias("table"),
+    ))
+)
+
+
+def coded(spark, sf_dir):
+    """Each part's key as 32 bits of a prefix code of four symbols, with 1, 2, 3 and 3 bits."""
+    codes = [F.array(*map(F.lit, x)).alias(n) for x, n in (((61, 91, 195, 249), "symbols"), ((1, 2, 3, 3), "lens"))]
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("stream"), F.unhex(F.lpad(F.hex(F.col("p_partkey") * 7919), 8, "0")).alias("data"), *codes, F.lit(32).cast("bigint").alias("bits"))
+
+
+def decoded_sql(bit: str) -> str:
+    return f"""SELECT stream, array_to_string(list_transform(l, lambda c: CASE c WHEN '0' THEN 61 WHEN '10' THEN 91 WHEN '110' THEN 195 ELSE 249 END), ' ') AS tokens, CAST(len(l[-1]) AS INTEGER) AS last_length FROM (
+SELECT p_partkey AS stream, regexp_extract_all(array_to_string(list_transform(range(0, 32), lambda i: ((p_partkey * 7919) >> {bit}) & 1), ''), '0|10|110|111') AS l FROM part)"""
+
+
+def told(df):
+    return df.withColumn("tokens", F.array_join(F.transform("tokens", lambda x: x.cast("string")), " "))
+
+
+query("decode_msb", decoded_sql("(31 - i)"))(lambda s, d: told(huffman.decode_with(coded(s, d))))
+query("decode_lsb", decoded_sql("(8 * (3 - i // 8) + i % 8)"))(lambda s, d: told(huffman.decode_with(coded(s, d), lsb=True)))
 query("last_int", "SELECT c_custkey, CAST(regexp_extract(c_name, '([0-9]+)[^0-9]*$', 1) AS BIGINT) AS v, replace(c_mktsegment || ',x', ',', ';') AS clean FROM customer")(
     lambda s, d: table(s, d, "customer").select("c_custkey", scalar.last_int(F.col("c_name")).alias("v"), scalar.sanitise(F.concat("c_mktsegment", F.lit(",x"))).alias("clean"))
 )

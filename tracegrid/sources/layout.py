@@ -103,7 +103,7 @@ def offset_base(file: Extents, h: dict, little: bool) -> int:
 
 
 def read_header(file: Extents) -> dict:
-    """The header in the byte order of the higher score, with little, score, n_cells and ot_base."""
+    """The header in the byte order of the higher score, with little, score, n_cells, ot_base and magic_little (by_magic)."""
     raw = file.read(0, HEADER)
     both = [(sum(score_terms(h, file.size).values()), little, h) for little in (False, True) for h in (parse_header(raw, little),)]
     score, little, h = max(both, key=lambda x: x[0])  # big-endian comes first and wins ties
@@ -112,4 +112,4 @@ def read_header(file: Extents) -> dict:
     if not h["ot_pos"] < h["hdr_pos"] < h["rec_pos_0"]:
         raise ValueError(f"positions out of order: {h['ot_pos']}, {h['hdr_pos']}, {h['rec_pos_0']}")
     h["rec_len"] = h["rec_len"] if h["rec_len"] > 0 else RECORD
-    return {**h, "little": little, "score": score, "n_cells": count(h), "ot_base": offset_base(file, h, little)}
+    return {**h, "little": little, "score": score, "n_cells": count(h), "ot_base": offset_base(file, h, little), "magic_little": by_magic(raw)}
