@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, HashStore, bucket_bits, gather, raw_texts, remove, saved, scan_bytes, shared_dir, slices, span_codes, write_store
+from .common import U64, HashStore, bucket_bits, gather, raw_texts, remove, saved, scan_bytes, shared_dir, slices, span_codes, tidy, write_store
 
 _BYTE = np.arange(256)
 #: ASCII characters that are visible, and lead bytes of UTF-8 that begin no white space.
@@ -53,7 +53,7 @@ SLOTS = 1 << 17
 NONE = 1 << ID  # the rank of a pair that has none
 LONG = 1024
 CACHE = 1_000_000  # hashes of pieces that a task remembers
-SLICE = 2 << 20
+SLICE = 1 << 19
 PIECES = np.random.default_rng(22).integers(1, 2**63, 256, dtype=U64) * U64(2) + U64(1)  # the hash of a piece
 
 
@@ -92,13 +92,13 @@ def _let(value: Column, body) -> Column:
 
 
 def encode_pieces(pieces: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
-    """``pieces(piece binary)`` with ``ids array<bigint>``, by Spark functions alone.
+    """``pieces(piece binary)`` with ``ids array<bigint>``, by Spark functions alone; null for those of over LONG bytes.
 
     The literal rank map is bound once as a lambda variable, so the plan holds it once.
     """
     singles = F.from_json(F.lit(json.dumps([ranks[bytes([b])] for b in range(256)])), "array<bigint>")
     ids = _let(rank_map(ranks), lambda table: _let(singles, lambda one: _folded(F.col("_s"), table, one)))
-    return pieces.withColumn("_s", F.decode("piece", "ISO-8859-1")).withColumn("ids", ids).drop("_s")
+    return pieces.withColumn("_s", F.when(F.length("piece") <= LONG, F.decode("piece", "ISO-8859-1"))).withColumn("ids", ids).drop("_s")
 
 
 def _folded(s: Column, table: Column, singles: Column) -> Column:
@@ -142,28 +142,28 @@ def _folded(s: Column, table: Column, singles: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.length(s)), _let(ids, start), step, lambda a: F.transform(F.slice(a, F.lit(2), F.size(a)), token))
 
 
-def heap_encode(piece: bytes, ranks: dict[bytes, int], pairs: dict[tuple[int, int], int]) -> list[int]:
+def heap_encode(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     """The same merges by a heap, for pieces over LONG bytes: the fold's time
     grows with the square of a piece's length."""
     import heapq
 
-    ids = [ranks[bytes([b])] for b in piece]
-    after = list(range(1, len(ids) + 1))
-    before = list(range(-1, len(ids) - 1))
-    heap = [(r, i, ids[i], ids[i + 1]) for i in range(len(ids) - 1) if (r := pairs.get((ids[i], ids[i + 1]))) is not None]
+    part = [piece[i : i + 1] for i in range(len(piece))]
+    after = list(range(1, len(part) + 1))
+    before = list(range(-1, len(part) - 1))
+    heap = [(r, i, part[i], part[i + 1]) for i in range(len(part) - 1) if (r := ranks.get(part[i] + part[i + 1])) is not None]
     heapq.heapify(heap)
     while heap:
-        r, i, x, y = heapq.heappop(heap)
+        _, i, x, y = heapq.heappop(heap)
         j = after[i]
-        if ids[i] != x or j >= len(ids) or ids[j] != y:
+        if part[i] != x or j >= len(part) or part[j] != y:
             continue
-        ids[i], ids[j], after[i] = r, -1, after[j]
-        if after[i] < len(ids):
+        part[i], part[j], after[i] = x + y, b"", after[j]
+        if after[i] < len(part):
             before[after[i]] = i
         for k in (before[i], i):
-            if k >= 0 and after[k] < len(ids) and (s := pairs.get((ids[k], ids[after[k]]))) is not None:
-                heapq.heappush(heap, (s, k, ids[k], ids[after[k]]))
-    return [x for x in ids if x >= 0]
+            if k >= 0 and after[k] < len(part) and (s := ranks.get(part[k] + part[after[k]])) is not None:
+                heapq.heappush(heap, (s, k, part[k], part[after[k]]))
+    return [ranks[x] for x in part if x]
 
 
 def cut_units(col: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray, np.ndarray]:
@@ -227,7 +227,7 @@ def distinct_pieces(docs: DataFrame, text: str, pattern: str) -> DataFrame:
                 seen = np.insert(seen, at[~old], key[order][~old]) if len(seen) < CACHE else key[order]
                 yield pa.RecordBatch.from_pydict({"piece": pieces.filter(pa.array(new)).cast(pa.binary())})
 
-    return docs.select(text).mapInArrow(cut, "piece binary").distinct()
+    return docs.select(text).mapInArrow(tidy(cut), "piece binary").distinct()
 
 
 def piece_store(spark: SparkSession, docs: DataFrame, text: str, rank_path: str, pattern: str) -> tuple[str, int]:
@@ -236,26 +236,20 @@ def piece_store(spark: SparkSession, docs: DataFrame, text: str, rank_path: str,
     ranks = load_ranks(rank_path)
     # an even deal: a task reads the literal anew, so there are as many as make them worth it
     pieces = saved(distinct_pieces(docs, text, pattern).repartition(min(4096, max(8, scan_bytes(docs) >> 24))), spark, "pieces")
-    encoded = encode_pieces(pieces.filter(F.length("piece") <= LONG), ranks)
-    long = pieces.filter(F.length("piece") > LONG)
-
-    def by_heap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pairs = None
-        for b in batches:
-            pairs = pairs or pair_ranks(ranks)
-            yield pa.RecordBatch.from_pydict({"piece": b.column("piece"), "ids": pa.array([heap_encode(p, ranks, pairs) for p in b.column("piece").to_pylist()], pa.list_(pa.int64()))})
-
-    encoded = encoded.union(long.mapInArrow(by_heap, "piece binary, ids array<bigint>"))
+    encoded = encode_pieces(pieces, ranks)
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             flat, ends = np.asarray(b.column("ids").flatten(), "<u4"), 4 * np.asarray(b.column("ids").offsets)
             flat, ends = memoryview(flat).cast("B"), (ends - ends[0]).tolist()
+            raw = [flat[s:e] for s, e in zip(ends, ends[1:])]
+            for i in np.flatnonzero(b.column("ids").is_null()).tolist():  # long ones
+                raw[i] = np.array(heap_encode(b.column("piece")[i].as_py(), ranks), "<u4").tobytes()
             key = keys_of(b.column("piece").cast(pa.large_binary()))
-            yield pa.RecordBatch.from_pydict({"key": pa.array(key.view(np.int64)), "raw": pa.array([flat[s:e] for s, e in zip(ends, ends[1:])], pa.binary())})
+            yield pa.RecordBatch.from_pydict({"key": pa.array(key.view(np.int64)), "raw": pa.array(raw, pa.binary())})
 
     path = shared_dir(spark, "bpe")
-    write_store(encoded.mapInArrow(packed, "key long, raw binary"), path, bits, blob="raw", distinct=True)
+    write_store(encoded.mapInArrow(tidy(packed), "key long, raw binary"), path, bits, blob="raw", distinct=True)
     remove(pieces)
     return path, bits
 
@@ -322,7 +316,7 @@ def _encoded(spark, docs, rank_path, pattern, id, text, digests):
 
     kind = dict(docs.dtypes)[id]
     out = f"`{id}` {kind}, " + ("n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>")
-    return docs.select(id, text).mapInArrow(write, out)
+    return docs.select(id, text).mapInArrow(tidy(write), out)
 
 
 def decode(encoded: DataFrame, rank_path: str, id: str = "doc_id", ids: str = "ids") -> DataFrame:

@@ -8,6 +8,7 @@ lookup table may be far larger than a worker's memory and is never broadcast.
 
 from __future__ import annotations
 
+import ctypes
 import math
 import mmap
 import os
@@ -149,7 +150,7 @@ _powers = {c: np.ones(1, U64) for c in (_BASE, pow(_BASE, -1, 1 << 64))}
 
 def _power(base: int, n: int) -> np.ndarray:
     if len(_powers[base]) < n:
-        _powers[base] = np.cumprod(np.r_[U64(1), np.full(max(n, 1 << 21), base, U64)], dtype=U64)
+        _powers[base] = np.cumprod(np.r_[U64(1), np.full(max(n, 1 << 20), base, U64)], dtype=U64)
     return _powers[base][:n]
 
 
@@ -253,7 +254,7 @@ def write_store(df: DataFrame, path: str, bits: int, blob: str | None = None, di
             yield pa.RecordBatch.from_pydict({"n": pa.array([len(key)], pa.int64())})
 
     dealt = df.withColumn("_b", F.shiftrightunsigned("key", 64 - bits)).repartition(2**bits, "_b").drop("_b")
-    return sum(r.n for r in dealt.mapInArrow(write, "n long").collect())
+    return sum(r.n for r in dealt.mapInArrow(tidy(write), "n long").collect())
 
 
 class HashStore:
@@ -335,6 +336,18 @@ def gather(data: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
     return data[np.repeat(first - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)]
 
 
+def tidy(work):
+    """``work`` as a function of mapInArrow that leaves no unused memory in its worker, as workers are reused."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from work(batches)
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+            trim(0)
+
+    return run
+
+
 def keep_columns(batch: pa.RecordBatch, **new: pa.Array) -> pa.RecordBatch:
     """The batch with columns set or replaced by name."""
     cols = {c: batch.column(i) for i, c in enumerate(batch.schema.names)} | new

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import remove, saved
 
 
 def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
@@ -14,23 +14,27 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
     Each round hangs every node on the smallest one it sees, with sums that
     combine before the shuffle and plain joins that AQE splits where a hub is
     hot. A round's edges are written to the shared folder, so a lost executor
-    costs one round at most. Nulls and loops are no edges.
+    costs one round at most, in as few files as their number asks for. Nulls and
+    loops are no edges.
     """
+    parts = 1 + (edges.count() >> 18)
     e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("a is not null and b is not null and a <> b").distinct()
-    e, before = saved(e, spark, "stars"), None
+    stars, before = saved(e.coalesce(parts), spark, "stars"), None
     while True:
-        now = e.agg(F.count("*"), F.sum(F.hash("u", "v").cast("decimal(38,0)")), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        now = stars.agg(F.count("*"), F.sum(F.hash("u", "v").cast("decimal(38,0)")), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break
         before = now
-        both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = stars.union(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u")
         e = small.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).distinct()
-        e = saved(e, spark, "stars")
-    return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+        after = saved(e.coalesce(parts), spark, "stars")
+        remove(stars)
+        stars = after
+    return stars.select(F.col("u").alias("node"), F.col("v").alias("component")).union(stars.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
 class Union:

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-from .common import free_name, remove, saved, slices, texts
+from .common import free_name, remove, saved, slices, texts, tidy
 
 ERROR = 0.1
 MIN = 24
@@ -167,7 +167,7 @@ def matches(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, id: str
                     new = {c: pa.array([[x[k] for x in r] for r in rows], pa.list_(pa.int64())) for k, c in enumerate(out)}
                     yield pa.RecordBatch.from_arrays([new.get(f, part.column(f)) for f in part.schema.names], names=part.schema.names)
 
-        before, found = found, found.mapInArrow(find, schema)
+        before, found = found, found.mapInArrow(tidy(find), schema)
         if b < blocks - 1:
             found = saved(found, spark, "items")
         if 0 < b < blocks - 1:

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import _put, remove, saved, shared_dir
+from .common import _put, remove, saved, shared_dir, tidy
 from .components import components
 
 SAMPLE = 32_768
@@ -198,7 +198,7 @@ def _compare(path: str, threshold: float):
 
 def links(spark: SparkSession, df: DataFrame, threshold: float = 0.9, id: str = "vec_id", vector: str = "embedding", reach: float | None = REACH) -> DataFrame:
     """(id, n_links, component_id) of each row of ``df``."""
-    rows = saved(df.select(F.col(id).cast("long").alias("id"), vector).mapInArrow(_packed, "id long, raw binary").withColumn("copy", F.sha2("raw", 256)), spark, "vectors")
+    rows = saved(df.select(F.col(id).cast("long").alias("id"), vector).mapInArrow(tidy(_packed), "id long, raw binary").withColumn("copy", F.sha2("raw", 256)), spark, "vectors")
     folded = rows.filter("raw is not null").groupBy("copy").agg(F.min("id").alias("least"), F.count("*").alias("m"), F.first("raw").alias("raw"))
     groups = saved(folded.withColumn("gid", F.monotonically_increasing_id()), spark, "copies")  # ids may be null or repeated
     centroids: dict[int, np.ndarray] = {}
@@ -225,19 +225,19 @@ def links(spark: SparkSession, df: DataFrame, threshold: float = 0.9, id: str =
                             went[i] = (base + np.flatnonzero(g)).tobytes()
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("gid", "m", "raw")), pa.array(home), pa.array(went, pa.binary())], names=["gid", "m", "raw", "home", "visits"])
 
-    placed = saved(groups.select("gid", "m", "raw").mapInArrow(assign, "gid long, m long, raw binary, home long, visits binary"), spark, "cells")
+    placed = saved(groups.select("gid", "m", "raw").mapInArrow(tidy(assign), "gid long, m long, raw binary, home long, visits binary"), spark, "cells")
     sizes = saved(placed.groupBy("home").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("nb")), spark, "homes")
     n_tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), groups.count() >> 16)
     path = shared_dir(spark, "blocks")
     dealt = placed.join(sizes, "home").withColumn("block", F.pmod(F.xxhash64("gid"), F.col("nb")).cast("int")).drop("nb")
-    going = saved(dealt.repartition(n_tasks, "home", "block").mapInArrow(_write_blocks(path), "cell long, home long, hblock int, who binary"), spark, "visits")
+    going = saved(dealt.repartition(n_tasks, "home", "block").mapInArrow(tidy(_write_blocks(path)), "cell long, home long, hblock int, who binary"), spark, "visits")
     # the visitors of a cell meet each block at home there; so does each of these blocks, once
     number = F.explode(F.sequence(F.lit(0), F.col("nb") - 1))
     guests = going.join(sizes.select(F.col("home").alias("cell"), "nb"), "cell").select("cell", number.alias("block"), "home", "hblock", "who")
     first = sizes.select("home", "nb", number.alias("block"))
     at_home = first.select(F.col("home").alias("cell"), "block", "home", F.explode(F.sequence("block", F.col("nb") - 1)).alias("hblock"), F.lit(None).cast("binary").alias("who"))
     items = guests.union(at_home).repartition(4 * n_tasks, "cell", "block").sortWithinPartitions("cell", "block")
-    found = saved(items.mapInArrow(_compare(path, threshold), "gid long, n long, root long"), spark, "links")
+    found = saved(items.mapInArrow(tidy(_compare(path, threshold)), "gid long, n long, root long"), spark, "links")
     remove(path, placed, sizes, going)
     groups_of = components(spark, found.filter("root is not null").select(F.col("gid").alias("a"), F.col("root").alias("b")))
     counts = found.filter("n is not null").groupBy("gid").agg(F.sum("n").alias("n"))

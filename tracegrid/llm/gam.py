@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, texts, words
+from .common import slices, texts, tidy, words
 
 SAMPLE = 20_000
 BINS = 32
@@ -190,11 +190,11 @@ def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "tex
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text", 4 << 20):
+            for part in slices(batch, "text", 1 << 20):
                 x = features(part.column("text"))
                 yield pa.RecordBatch.from_pydict({"i": part.column("id").cast(pa.string()), "y": part.column("y"), "x": pa.array(list(x), pa.list_(pa.float64()))})
 
-    one = rows.mapInArrow(measure, "i string, y double, x array<double>").groupBy("i").agg(F.min("y").alias("y"), F.min("x").alias("x"))
+    one = rows.mapInArrow(tidy(measure), "i string, y double, x array<double>").groupBy("i").agg(F.min("y").alias("y"), F.min("x").alias("x"))
     got = one.toPandas().sort_values("i", kind="stable")
     x = np.array(got["x"].tolist(), float).reshape(-1, len(FEATURES))
     return learn(x, got["y"].to_numpy(float))
@@ -206,10 +206,10 @@ def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score")
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, text, 4 << 20):
+            for part in slices(batch, text, 1 << 20):
                 s = model.score(features(part.column(text)))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(s)], names=[*part.schema.names, out])
 
     from pyspark.sql.types import DoubleType, StructField, StructType
 
-    return docs.mapInArrow(rate, StructType([*docs.schema.fields, StructField(out, DoubleType())]))
+    return docs.mapInArrow(tidy(rate), StructType([*docs.schema.fields, StructField(out, DoubleType())]))

@@ -47,7 +47,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, HashStore, bucket_bits, mix, put_bucket, remove, saved, scan_bytes, shared_dir, slices, word_codes, write_store
+from .common import U64, HashStore, bucket_bits, mix, put_bucket, remove, saved, scan_bytes, shared_dir, slices, tidy, word_codes, write_store
 from .components import Union, components
 
 LIST = 256
@@ -56,7 +56,7 @@ RANGE = 18  # bits of a sketch file's slots
 PARTS = 64  # classes of a signature
 SIGNED = 65535  # members that a signed set may have
 CACHE = 64 << 20  # bytes of sets a worker keeps at hand
-SLICE = 2 << 20
+SLICE = 1 << 20
 NO_ID = -(2**63)
 _OF_PLACE = np.random.default_rng(21).integers(1, 2**63, 64, dtype=U64) * U64(2) + U64(1)
 
@@ -284,7 +284,7 @@ def link_groups(spark: SparkSession, docs: DataFrame, percent: int = 90, width:
             if part.any():
                 yield pa.RecordBatch.from_arrays([none, none, none, pa.nulls(1, pa.binary()), pa.array([r], pa.int64()), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())], names=["id", "n", "sid", "sig", "r", "part"])
 
-    measured = saved(rows.mapInArrow(measure, "id long, n long, sid long, sig binary, r long, part binary"), spark, "measured")
+    measured = saved(rows.mapInArrow(tidy(measure), "id long, n long, sid long, sig binary, r long, part binary"), spark, "measured")
     own = measured.filter("r is null").select("id", "n", "sid")
     sketch = shared_dir(spark, "sketch")
 
@@ -298,7 +298,7 @@ def link_groups(spark: SparkSession, docs: DataFrame, percent: int = 90, width:
             put_bucket(sketch, r, {"n": np.minimum(16 * np.log2(1 + part), 255).astype(np.uint8)})
             yield pa.RecordBatch.from_pydict({"r": pa.array([r], pa.int64())})
 
-    added = measured.filter("r is not null").select("r", "part").repartition(ranges, "r").mapInArrow(add_up, "r long").collect()  # a row a range
+    added = measured.filter("r is not null").select("r", "part").repartition(ranges, "r").mapInArrow(tidy(add_up), "r long").collect()  # a row a range
     for r in set(range(ranges)) - {x.r for x in added}:
         put_bucket(sketch, r, {"n": np.zeros((1 << slots) // ranges, np.uint8)})
     first = shared_dir(spark, "first")
@@ -325,7 +325,7 @@ def link_groups(spark: SparkSession, docs: DataFrame, percent: int = 90, width:
             yield pa.RecordBatch.from_pydict({"tok": pa.array(some.view(np.int64)), "c": pa.array(times.astype(np.int32))})
 
     shared = shared_dir(spark, "shared")
-    write_store(rows.mapInArrow(tokens, "tok long, c int").groupBy(F.col("tok").alias("key")).agg(F.sum("c").alias("c")).filter("c > 1"), shared, bits)
+    write_store(rows.mapInArrow(tidy(tokens), "tok long, c int").groupBy(F.col("tok").alias("key")).agg(F.sum("c").alias("c")).filter("c > 1"), shared, bits)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counted = HashStore(shared, bits)
@@ -362,7 +362,7 @@ def link_groups(spark: SparkSession, docs: DataFrame, percent: int = 90, width:
         lead = np.repeat(np.minimum.reduceat(sid[order], starts), np.diff(np.r_[starts, len(order)]))
         yield from table.take(pa.array(order)).append_column("lead", pa.array(lead)).combine_chunks().to_batches()
 
-    lists = saved(rows.mapInArrow(index, entry).repartition(n_tasks, "tok", "block").mapInArrow(fitting, entry + ", lead long"), spark, "lists")
+    lists = saved(rows.mapInArrow(tidy(index), entry).repartition(n_tasks, "tok", "block").mapInArrow(tidy(fitting), entry + ", lead long"), spark, "lists")
     active, stored = shared_dir(spark, "active"), shared_dir(spark, "sets")
     write_store(lists.select(F.col("sid").alias("key")).distinct(), active, bits)
 
@@ -375,7 +375,7 @@ def link_groups(spark: SparkSession, docs: DataFrame, percent: int = 90, width:
             ends = np.cumsum(n)
             yield pa.RecordBatch.from_pydict({"key": pa.array(sid[at].view(np.int64)), "raw": pa.array([h[ends[i] - n[i] : ends[i]].tobytes() for i in at.tolist()], pa.binary())})
 
-    write_store(rows.mapInArrow(arrays, "key long, raw binary"), stored, bits, blob="raw")
+    write_store(rows.mapInArrow(tidy(arrays), "key long, raw binary"), stored, bits, blob="raw")
 
     # ---- 4 and 5: lists, then the blocks of long ones
     def by_list(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -384,7 +384,7 @@ def link_groups(spark: SparkSession, docs: DataFrame, percent: int = 90, width:
             match.work(part["sid"].tolist(), part["n"].astype(np.int64), part["pos"].astype(np.int64))
             yield match.take()
 
-    near = saved(lists.select("tok", "block", "sid", "n", "pos", "lead").repartition(n_tasks, "lead").mapInArrow(by_list, "a long, b long"), spark, "near")
+    near = saved(lists.select("tok", "block", "sid", "n", "pos", "lead").repartition(n_tasks, "lead").mapInArrow(tidy(by_list), "a long, b long"), spark, "near")
     long = lists.filter("blocks > 1")
     if not long.isEmpty():
         groups = components(spark, near)
@@ -409,7 +409,7 @@ def link_groups(spark: SparkSession, docs: DataFrame, percent: int = 90, width:
                 match.work(part["sid"].tolist(), part["n"].astype(np.int64), part["pos"].astype(np.int64), part["out"].tolist())
                 yield match.take()
 
-        near = saved(near.union(pairs.repartition(n_tasks, "tok", "i", "j").mapInArrow(by_pair, "a long, b long")), spark, "near")
+        near = saved(near.union(pairs.repartition(n_tasks, "tok", "i", "j").mapInArrow(tidy(by_pair), "a long, b long")), spark, "near")
     groups = components(spark, near)
     final = shared_dir(spark, "groups")
 
@@ -419,7 +419,7 @@ def link_groups(spark: SparkSession, docs: DataFrame, percent: int = 90, width:
             _, got = named.find(b.column("node").to_numpy().view(U64), id=np.int64)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(got["id"], mask=got["id"] == NO_ID)], names=["node", "component", "id"])
 
-    named = saved(groups.mapInArrow(with_ids, "node long, component long, id long"), spark, "named")
+    named = saved(groups.mapInArrow(tidy(with_ids), "node long, component long, id long"), spark, "named")
     least = named.groupBy("component").agg(F.min("id").alias("least"))
     write_store(named.join(least, "component").select(F.col("node").alias("key"), F.coalesce("least", F.lit(NO_ID)).alias("id")), final, bits)
     remove(sketch, shared, active, stored, lists, near, named)
@@ -434,7 +434,7 @@ def link_groups(spark: SparkSession, docs: DataFrame, percent: int = 90, width:
                 best = np.where(found & (sid != 0), got["id"], best)
             yield pa.RecordBatch.from_pydict({id: b.column("id"), "n_shingles": b.column("n"), "component_id": pa.array(best, mask=best == NO_ID)})
 
-    return own.mapInArrow(name, f"`{id}` long, n_shingles long, component_id long")
+    return own.mapInArrow(tidy(name), f"`{id}` long, n_shingles long, component_id long")
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, percent: int = 90, width: int = 3, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -454,7 +454,7 @@ def keep_one(spark: SparkSession, docs: DataFrame, percent: int = 90, width: int
             key = key_of(b.column("id"))
             yield pa.RecordBatch.from_pydict({"key": pa.array(key.view(np.int64)), "one": pa.array(np.ones(len(key), np.int32))})
 
-    write_store(groups.filter(F.col(id) != F.col("component_id")).select(F.col(id).alias("id")).distinct().mapInArrow(keyed, "key long, one int"), gone, bits)
+    write_store(groups.filter(F.col(id) != F.col("component_id")).select(F.col(id).alias("id")).distinct().mapInArrow(tidy(keyed), "key long, one int"), gone, bits)
 
     @F.arrow_udf("boolean")
     def goes(ids: Iterator[pa.Array]) -> Iterator[pa.Array]:

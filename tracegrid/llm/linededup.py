@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from .common import HashStore, U64, bucket_bits, hash_bytes, mix, raw_texts, scan_bytes, shared_dir, slices, span_codes, write_store
+from .common import HashStore, U64, bucket_bits, hash_bytes, mix, raw_texts, scan_bytes, shared_dir, slices, span_codes, tidy, write_store
 
 #: Where lines begin.
 CUT = re.compile(r"(?<=\n)|(?<=[.!?,;:] )")
@@ -162,18 +162,18 @@ def dedup(spark: SparkSession, docs: DataFrame, id: str = "doc_id", text: str =
 
     def unit_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text", 2 << 20):
+            for part in slices(batch, "text", 1 << 20):
                 c = Chunks(part.column("text"))
                 yield pa.RecordBatch.from_pydict({"key": pa.array(c.key.view(np.int64)), "id": part.column("id").take(pa.array(c.doc))})
 
     keepers = shared_dir(spark, "keepers")
-    counted = rows.mapInArrow(unit_keys, "key long, id long").groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("id"))
+    counted = rows.mapInArrow(tidy(unit_keys), "key long, id long").groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("id"))
     write_store(counted.filter("n > 1").select("key", F.coalesce("id", F.lit(-1)).alias("id")), keepers, bits)
 
     def kept_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store = HashStore(keepers, bits)
         for batch in batches:
-            for part in slices(batch, "text", 2 << 20):
+            for part in slices(batch, "text", 1 << 20):
                 c = Chunks(part.column("text"))
                 own = np.array(part.column("id").fill_null(-1))[c.doc]
                 found, got = store.find(c.key, id=np.int64)
@@ -193,7 +193,7 @@ def dedup(spark: SparkSession, docs: DataFrame, id: str = "doc_id", text: str =
 
     kept = shared_dir(spark, "kept")
     place = F.min(F.struct("piece", "off"))
-    whole = rows.mapInArrow(kept_bytes, "key long, piece long, off long, own binary").groupBy("key").agg(place.alias("p"), F.max("own").alias("own"))
+    whole = rows.mapInArrow(tidy(kept_bytes), "key long, piece long, off long, own binary").groupBy("key").agg(place.alias("p"), F.max("own").alias("own"))
     write_store(whole.select("key", "p.piece", "p.off", "own"), kept, bits, blob="own")
     fields = [f for f in docs.schema.fields if f.name not in counts]
     schema = StructType([StructField(f.name, StringType() if f.name == text else f.dataType) for f in fields] + [StructField(c, LongType()) for c in counts])
@@ -201,7 +201,7 @@ def dedup(spark: SparkSession, docs: DataFrame, id: str = "doc_id", text: str =
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keeper, bytes_ = HashStore(keepers, bits), HashStore(kept, bits)
         for batch in batches:
-            for part in slices(batch, text, 2 << 20):
+            for part in slices(batch, text, 1 << 20):
                 col = part.column(text)
                 c = Chunks(col)
                 own = np.array(part.column(id).cast(pa.int64()).fill_null(-1))[c.doc]
@@ -246,4 +246,4 @@ def dedup(spark: SparkSession, docs: DataFrame, id: str = "doc_id", text: str =
                 cols = {f.name: (new if f.name == text else part.column(f.name)) for f in fields}
                 yield pa.RecordBatch.from_arrays([*cols.values(), pa.array(c.count), pa.array(removed)], names=[*cols, *counts])
 
-    return docs.select(*(f.name for f in fields)).mapInArrow(strip, schema)
+    return docs.select(*(f.name for f in fields)).mapInArrow(tidy(strip), schema)
