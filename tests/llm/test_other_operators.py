@@ -82,6 +82,21 @@ def test_embeddings_of_many_cells(spark, monkeypatch):
     assert [r.n_links for r in sorted(got)] == linked.sum(1).tolist()
 
 
+def test_embeddings_of_extreme_lengths(spark):
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(40, 8))
+    rows = [(k, (v * (1e200 if k % 3 == 0 else 1e-200 if k % 3 == 1 else 1)).tolist()) for k, v in enumerate(np.concatenate([base, base + rng.normal(scale=0.1, size=base.shape)]))]
+    x = np.array([np.array(v) / np.abs(v).max() for _, v in rows])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    linked = (x @ x.T >= 0.9) & ~np.eye(len(x), dtype=bool)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for reach in (embed.REACH, None):
+        got = sorted(embed.links(spark, df, reach=reach).collect())
+        assert [r.n_links for r in got] == linked.sum(1).tolist() and linked.any()
+    twice = embed.links(spark, df.union(df).union(spark.createDataFrame([(None, rows[0][1])], df.schema))).collect()
+    assert len(twice) == 161 and all(r.n_links == 2 * linked[r.vec_id].sum() + 1 + linked[r.vec_id][0] + (r.vec_id == 0) for r in twice if r.vec_id is not None)
+
+
 def test_components(spark):
     rng = random.Random(1)
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, k) for k in range(101, 160)] + [(7, 7), (None, 3), (5, 4)] + [(rng.randint(200, 400), rng.randint(200, 400)) for _ in range(120)]

@@ -7,8 +7,10 @@ import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
+import xxhash
 
 from tracegrid.llm import bpe, decontaminate, gam, jaccard, kneser_ney, linededup, maglev, sanitise
 
@@ -320,3 +322,148 @@ def test_line_dedup_few_clauses(spark, clauses, size):
             want[i] = before + after if i % 2 else before + passage + after
     got = linededup.dedup(spark, spark.createDataFrame(texts, "doc_id long, text string"))
     assert {r.doc_id: r.text for r in got.collect()} == want
+
+
+# ---------------------------------------------------------------- brute force and odd inputs
+
+
+def test_classifier_scores_by_hand(spark, docs, rows):
+    """Scores equal those added up from the tables one by one."""
+    rng = random.Random(4)
+    some = [(i, " ".join(rng.choice(["alpha", "BETA!", "x9", "the"]) for _ in range(rng.randint(1, 80)))) for i in range(200)]
+    labels = spark.createDataFrame([(i, int("BETA" not in t[:40])) for i, t in some], "doc_id long, quality int")
+    model = gam.fit(spark.createDataFrame(some + some, "doc_id long, text string"), labels)
+    got = {(r.doc_id, r.text): r.quality for r in gam.score(docs, model, out="quality").collect()}
+    for i, t in rows:
+        x = gam.features(pa.array([t], pa.string()))[0]
+        place = [sum(1 for e in edges if v >= e) for v, edges in zip(x, model.edges)]
+        z = model.base + sum(model.single[j][b] for j, b in enumerate(place))
+        for (a, b), table in zip(model.pairs, model.double):
+            z += table[model.coarse[a][place[a]]][model.coarse[b][place[b]]]
+        assert got[i, t] == pytest.approx(1 / (1 + math.exp(-z)))
+
+
+def test_maglev_by_a_slow_fill(spark):
+    names, size = [f"s{k}" for k in range(7)], 101
+    turn = {n: [(xxhash.xxh64_intdigest(n.encode(), seed=1) + k * (xxhash.xxh64_intdigest(n.encode(), seed=2) % (size - 1) + 1)) % size for k in range(size)] for n in names}
+    table = {}
+    while len(table) < size:
+        for n in names:
+            free = [x for x in turn[n] if x not in table]
+            if free:
+                table[free[0]] = n
+    keys = spark.createDataFrame([(k,) for k in [*range(300), None]], "k long")
+    slot = {r.k: r.s for r in keys.selectExpr("k", f"pmod(xxhash64(k), {size}) as s").collect()}
+    got = maglev.place(spark, keys, "k", names, size).collect()
+    assert len(got) == 301 and all(r.slot == slot[r.k] and r.shard == table[r.slot] for r in got)
+    counts = collections.Counter(table.values())
+    assert max(counts.values()) - min(counts.values()) <= 1
+
+
+def test_answers_are_derived():
+    """A leader's overlaps are known before its followers', and spare or shorten theirs; the groups stay those of brute force."""
+    rng = np.random.default_rng(6)
+    base = [rng.choice(10**6, 200, replace=False) for _ in range(6)]
+    sets = {}
+    for g, b in enumerate(base):
+        for k in range(6):
+            own = np.concatenate([b[6:], base[(g + 1) % 6][:120]]) if k % 2 else b[4:]
+            sets[100 * g + k + 1] = np.sort(np.unique(np.concatenate([own, rng.choice(10**7, 4) + 10**6])).astype(np.uint64))
+    ids = list(sets)
+    match = jaccard.Matcher(sets.__getitem__, 90)
+    match.work(ids, np.array([len(sets[i]) for i in ids]), np.zeros(len(ids), int))
+    assert match.derived + match.spared > 0
+    up = {i: i for i in ids}
+    for a in ids:
+        for b in ids:
+            common = len(np.intersect1d(sets[a], sets[b]))
+            if 100 * common >= 90 * (len(sets[a]) + len(sets[b]) - common):
+                x, y = up[a], up[b]
+                up = {k: min(x, y) if v in (x, y) else v for k, v in up.items()}
+    assert all(match.joined(a, b) == (up[a] == up[b]) for a in ids for b in ids)
+
+
+def test_control_characters_in_lines(spark):
+    for mark in "\x1e", "\x1f", "\x85", "\x00":
+        passage = "".join(f"Sentence {k} of{mark}a passage with some words. " for k in range(24))
+        own = [(k, f"Own start {k} of it. {passage}Own end {k} of it.") for k in range(3)]
+        got = {r.doc_id: r for r in linededup.dedup(spark, spark.createDataFrame(own, "doc_id long, text string")).collect()}
+        assert got[0].n_removed == 0 and got[0].text == own[0][1]
+        assert all(got[k].n_removed == 24 and got[k].text == f"Own start {k} of it. Own end {k} of it." for k in (1, 2))
+
+
+def test_line_dedup_by_brute_force(spark, monkeypatch):
+    """Every run of 30 words that stands elsewhere too goes, and nothing goes that stands nowhere else."""
+    monkeypatch.setattr(linededup, "WORDS", 10**9)  # runs alone
+    rng = random.Random(10)
+    pool = [f"{k} " + " ".join(rng.choice("one two three four five six".split()) for _ in range(rng.randint(3, 12))) + rng.choice([". ", "\n", ", "]) for k in range(60)]
+    own = [(k, "".join(f"own {k} {rng.random()} line. " if rng.random() < 0.2 else pool[(s + j) % 60] for j in range(rng.randint(4, 14)))) for k in range(40) for s in [rng.randrange(60)]]
+    got = {r.doc_id: r for r in linededup.dedup(spark, spark.createDataFrame(own, "doc_id long, text string")).collect()}
+    lines = {k: [x for x in linededup.CUT.split(t) if x] for k, t in own}
+    bare = {k: [x.strip() for x in ls] for k, ls in lines.items()}
+    places = collections.defaultdict(list)
+    for k in sorted(bare):
+        for s in range(len(bare[k])):
+            e, n = s, 0
+            while e < len(bare[k]) and n < linededup.RUN:
+                n += len(bare[k][e].split(" "))
+                e += 1
+            if n >= linededup.RUN:
+                places[tuple(bare[k][s:e])].append((k, s, e))
+    must = {(k, j) for at in places.values() if len(at) > 1 for k, s, e in at[1:] for j in range(s, e)}
+    twice = {x for x, n in collections.Counter(x for ls in bare.values() for x in ls).items() if n > 1}
+    assert len(must) > 30
+    for k, ls in lines.items():
+        left, at, gone = got[k].text, 0, set()
+        for j, x in enumerate(ls):  # what is left is a part of the lines, in order
+            if left.startswith(x, at) and (k, j) not in must:
+                at += len(x)
+            else:
+                gone.add((k, j))
+        assert at == len(left) and len(gone) == got[k].n_removed, k
+        assert all(bare[k][j] in twice for _, j in gone)
+
+
+def text_of(rng):
+    return " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(3, 8))) for _ in range(12))
+
+
+def test_decontaminate_short_items_blocks_and_names(spark, monkeypatch):
+    rng = random.Random(13)
+    long = [text_of(rng) for _ in range(6)]
+    items = spark.createDataFrame([(k, t) for k, t in enumerate(long)] + [(50, "Yes, sir"), (51, "..."), (52, None)], "item_id long, text string")
+    own = [(k, f"before {t} after") for k, t in enumerate(long)] + [(20, "he said yes sir to it"), (21, "eyes sir"), (22, "yes sirs"), (23, "YES SIR"), (24, None)]
+    docs = spark.createDataFrame([(i, t, [7, 8], [9]) for i, t in own], "doc_id long, text string, items array<int>, distances array<int>")
+    want = {**{k: [k] for k in range(6)}, 20: [50], 21: [], 22: [], 23: [50], 24: []}
+    for block in (1 << 20, 200):
+        monkeypatch.setattr(decontaminate, "BLOCK", block)
+        assert {r.doc_id: r["items"] for r in decontaminate.matches(spark, docs, items).collect()} == want
+    kept = decontaminate.clean(spark, docs, items).collect()
+    assert sorted(r.doc_id for r in kept) == [21, 22, 24] and all((r["items"], r.distances) == ([7, 8], [9]) for r in kept)
+
+
+def test_pipeline_stages_on_odd_rows(spark, docs, rows, empty):
+    """Nulls, empty texts, repeated rows, clashing columns and an empty table, stage by stage."""
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.001"
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, sf).count() == 0
+        got = stage(spark, docs, sf).collect()
+        if name == "tokens":
+            assert collections.Counter(r.doc_id for r in got) == collections.Counter(i for i, _ in rows)
+            continue
+        assert all((r.lang, r.n_lines, r.score, r["items"]) == ("en", 1, 2.0, [3]) for r in got) and len(got) <= len(rows)
+        assert stage(spark, docs, sf).columns == docs.columns
+        if name in ("copies", "benchmark"):
+            before = collections.Counter((i, t) for i, t in rows)
+            assert not collections.Counter((r.doc_id, r.text) for r in got) - before
+        if name == "copies":  # one of each group, by brute force
+            sets = {i: shingles(t, 5) for i, t in rows}
+            group = {i: i for i in sets}
+            for a in sets:
+                for b in sets:
+                    if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                        x, y = group[a], group[b]
+                        group = {k: min(x, y) if v in (x, y) else v for k, v in group.items()}
+            assert {r.doc_id for r in got} == {i for i in group if group[i] == i}

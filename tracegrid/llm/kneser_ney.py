@@ -16,11 +16,15 @@ Tokens are words ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased, then one end. Th
 base is the unigram score with add-half smoothing. A null text is empty and
 has one token, its end. Unknown words get the share that smoothing leaves over
 a uniform distribution. Repeated rows each get a score. With no training text
-at all, every token has the uniform probability. Extra columns are not read.
+at all, every token has the uniform probability. Very long texts are scored
+whole, one at a time; ties cannot arise. An empty table gives no rows. Extra
+columns are not read.
 """
 
 from __future__ import annotations
 
+import os
+from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,13 +32,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import HashStore, U64, bucket_bits, hash_bytes, mix, put_bucket, saved, scan_bytes, shared_dir, slices, words
+from .common import HashStore, U64, bucket_bits, hash_bytes, mix, put_bucket, saved, scan_bytes, shared_dir, slices, tidy, words
 
 END = 0  # the number of the end token; words count from 2
 START = 1  # the context of a first word
 UNKNOWN = np.int64(0xFFFFFFFF)
-SLICE = 8 << 20
-RANGE_BITS = 16  # word numbers a range file holds
+SLICE = 4 << 20
+RANGE_BITS = 13  # word numbers a range file holds
+COLUMNS = ("sum", "n1", "n2", "n3", "cont")  # of a word in a range file
+OPEN = 512  # range files that a worker keeps mapped
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
@@ -51,7 +57,7 @@ def count_words(docs: DataFrame, text: str) -> DataFrame:
                 n = np.bincount(idx, minlength=len(names))
                 yield pa.RecordBatch.from_pydict({"key": pa.array(hash_bytes(names).view(np.int64)), "n": pa.array(n, pa.int64())})
 
-    return docs.select(text).mapInArrow(count, "key long, n long").filter("n > 0").groupBy("key").agg(F.sum("n").alias("n"))
+    return docs.select(text).mapInArrow(tidy(count), "key long, n long").filter("n > 0").groupBy("key").agg(F.sum("n").alias("n"))
 
 
 class Lexicon:
@@ -93,24 +99,26 @@ class Model:
         out = Model(**self.__dict__)
         out.lexicon = Lexicon(self.words, self.word_bits, self.first)
         out.pairs = HashStore(self.bigrams, self.pair_bits)
-        out.ranges = {}
+        out.ranges = OrderedDict()
         return out
 
+    def range_file(self, r: int) -> np.ndarray | None:
+        if r not in self.ranges:
+            file = f"{self.dense}/{r:05d}.t.npy"
+            self.ranges[r] = np.load(file, mmap_mode="r") if os.path.exists(file) else None
+            if len(self.ranges) > OPEN:
+                self.ranges.popitem(last=False)
+        return self.ranges[r]
+
     def of_word(self, number: np.ndarray, names: tuple[str, ...]) -> list[np.ndarray]:
         """Dense per-word columns: sum, n1, n2, n3 of what follows a word, and its continuations."""
         out = [np.zeros(len(number), np.int64) for _ in names]
         where = number >> RANGE_BITS
         for r in np.unique(where[number != UNKNOWN]):
             rows = np.flatnonzero(where == r)
-            for o, name in zip(out, names):
-                at = (int(r), name)
-                if at not in self.ranges:
-                    try:
-                        self.ranges[at] = np.load(f"{self.dense}/{r:05d}.{name}.npy", mmap_mode="r")
-                    except FileNotFoundError:
-                        self.ranges[at] = None
-                if (have := self.ranges[at]) is not None:
-                    o[rows] = have[number[rows] & ((1 << RANGE_BITS) - 1)]
+            if (have := self.range_file(int(r))) is not None:
+                for o, name in zip(out, names):
+                    o[rows] = have[COLUMNS.index(name), number[rows] & ((1 << RANGE_BITS) - 1)]
         return out
 
     def score(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -166,7 +174,7 @@ def fit(spark: SparkSession, docs: DataFrame, text: str = "text") -> Model:
     counted = count_words(docs, text).withColumn("_b", F.shiftrightunsigned("key", 64 - bits)).repartition(2**bits, "_b").drop("_b")
     sizes = np.zeros(2**bits, np.int64)
     tokens = 0
-    for r in counted.mapInArrow(write_words, "b long, v long, n long").collect():  # a row a bucket
+    for r in counted.mapInArrow(tidy(write_words), "b long, v long, n long").collect():  # a row a bucket
         sizes[r.b] = r.v
         tokens += r.n
     first = np.concatenate([[0], np.cumsum(sizes)[:-1]]).tolist()
@@ -225,8 +233,8 @@ def fit(spark: SparkSession, docs: DataFrame, text: str = "text") -> Model:
             yield pa.RecordBatch.from_pydict({"kind": pa.array([2], pa.int32()), "r": pa.array([texts_], pa.int64()), "size": pa.array([len(n)], pa.int64()), "blob": pa.array([_pack(counts.astype(np.int64))], pa.binary())})
             texts_ = 0
 
-    pairs = docs.select(text).mapInArrow(count_pairs, "b long, size long, docs long, blob binary").repartition(2**pair_bits, "b")
-    sums = saved(pairs.mapInArrow(write_pairs, "kind int, r long, size long, blob binary"), spark, "sums")
+    pairs = docs.select(text).mapInArrow(tidy(count_pairs), "b long, size long, docs long, blob binary").repartition(2**pair_bits, "b")
+    sums = saved(pairs.mapInArrow(tidy(write_pairs), "kind int, r long, size long, blob binary"), spark, "sums")
     # ---- per word
     dense, width = shared_dir(spark, "dense"), 1 << RANGE_BITS
 
@@ -242,13 +250,14 @@ def fit(spark: SparkSession, docs: DataFrame, text: str = "text") -> Model:
                 else:
                     table[4, at] += rows[1]
         for r, table in tables.items():
-            put_bucket(dense, r, dict(zip(("sum", "n1", "n2", "n3", "cont"), table)))
+            put_bucket(dense, r, {"t": table})
             c = table[4]
             low = [int((c == k).sum()) for k in (1, 2, 3, 4)]
             yield pa.RecordBatch.from_pydict({"c": pa.array([[*low, int((c >= 3).sum()), int(c.sum())]], pa.list_(pa.int64()))})
 
     files = (vocabulary + 2 >> RANGE_BITS) + 1
-    got = sums.filter("kind < 2").repartition(min(files, 4096), "r").mapInArrow(write_dense, "c array<bigint>").collect()  # a row a range file
+    tasks = max(1, min(files, 1 << 16, size >> 24))
+    got = sums.filter("kind < 2").repartition(tasks, "r").mapInArrow(tidy(write_dense), "c array<bigint>").collect()  # a row a range file
     low = np.sum([r.c for r in got], axis=0) if got else np.zeros(6, np.int64)
     top = np.zeros(4, np.int64)
     ends = 0
@@ -292,4 +301,4 @@ def score(docs: DataFrame, model: Model, id: str = "doc_id", text: str = "text")
                 yield pa.RecordBatch.from_pydict({id: part.column(id), **new})
 
     kind = dict(docs.dtypes)[id]
-    return docs.select(id, text).mapInArrow(rate, f"`{id}` {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double")
+    return docs.select(id, text).mapInArrow(tidy(rate), f"`{id}` {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double")

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, HashStore, bucket_bits, hash_bytes, mix, saved, scan_bytes, shared_dir, slices, texts, words, write_store
+from .common import U64, HashStore, bucket_bits, hash_bytes, mix, saved, scan_bytes, shared_dir, slices, texts, tidy, words, write_store
 
 KINDS = ("email", "ip", "card", "phone")
 SMOOTH = 1
@@ -140,7 +140,7 @@ def disclosures(spark: SparkSession, docs: DataFrame, text: str = "text") -> tup
         none = np.tile(np.arange(k) == 0, len(c))
         return pa.RecordBatch.from_pydict({"c": pa.array(np.repeat(c, k)), "t": pa.array(np.tile(np.r_[np.int64(0), t], len(c)), mask=none), "n": pa.array(np.ones(len(none), np.int64))})
 
-    seen = saved(docs.select(text).mapInArrow(mentions, "c long, t long, n long").groupBy("c", "t").agg(F.sum("n").alias("n")), spark, "mentions")
+    seen = saved(docs.select(text).mapInArrow(tidy(mentions), "c long, t long, n long").groupBy("c", "t").agg(F.sum("n").alias("n")), spark, "mentions")
     total = seen.filter("c is null").agg(F.sum("n")).first()[0] or 0
     pairs = seen.filter(F.col("c").isNotNull() & F.col("t").isNotNull())
     terms = shared_dir(spark, "terms")
@@ -180,7 +180,7 @@ def disclosures(spark: SparkSession, docs: DataFrame, text: str = "text") -> tup
         n = np.bincount(back, np.concatenate([c for _, c in parts]), len(ids)).astype(np.int64)
         return pa.RecordBatch.from_pydict({"t": pa.array(ids.view(np.int64)), "n": pa.array(n)})
 
-    docs_with = docs.select(text).mapInArrow(frequency, "t long, n long").groupBy("t").agg(F.sum("n").alias("nt"))
+    docs_with = docs.select(text).mapInArrow(tidy(frequency), "t long, n long").groupBy("t").agg(F.sum("n").alias("nt"))
     entities = seen.filter("c is not null and t is null").select("c", F.col("n").alias("nc"))
     ic = F.log2(F.lit(float(max(total, 1))) / F.col("nc"))
     pmi = F.log2(F.col("n") * F.lit(float(max(total, 1))) / (F.col("nc") * (F.col("nt") + SMOOTH)))
@@ -192,7 +192,7 @@ def disclosures(spark: SparkSession, docs: DataFrame, text: str = "text") -> tup
             key = pair_key(*(b.column(x).to_numpy().view(U64) for x in ("c", "t")))
             yield pa.RecordBatch.from_pydict({"key": pa.array(key.view(np.int64)), "share": b.column("share")})
 
-    write_store(share.select("c", "t", "share").mapInArrow(keyed, "key long, share double"), path, bits)
+    write_store(share.select("c", "t", "share").mapInArrow(tidy(keyed), "key long, share double"), path, bits)
     return path, bits
 
 
@@ -247,5 +247,5 @@ def find(spark: SparkSession, docs: DataFrame, id: str = "doc_id", text: str = "
                 yield pa.RecordBatch.from_arrays([part.column(id), *(pa.array(c, t) for c, t in zip(zip(*rows), kinds))], names=names)
 
     kind = dict(docs.dtypes)[id]
-    out = docs.select(id, text).mapInArrow(mark, f"`{id}` {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_term long, sanitised string")
+    out = docs.select(id, text).mapInArrow(tidy(mark), f"`{id}` {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_term long, sanitised string")
     return out if with_text else out.drop("sanitised")

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import HashStore, bucket_bits, saved, scan_bytes, shared_dir, slices, texts, write_store
+from .common import HashStore, bucket_bits, saved, scan_bytes, shared_dir, slices, texts, tidy, write_store
 
 DATE = "2025-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -89,7 +89,7 @@ def write(spark: SparkSession, pages: DataFrame, min_bytes: int = 0, id: str = "
             own = [h + p.to_bytes(8, "little", signed=True) for h, p in zip(sha, b.column("p").to_pylist())]
             yield pa.RecordBatch.from_pydict({"key": pa.array(key), "own": pa.array(own, pa.binary())})
 
-    write_store(repeated.select("h", "p").mapInArrow(keyed, "key long, own binary"), path, bits, blob="own")
+    write_store(repeated.select("h", "p").mapInArrow(tidy(keyed), "key long, own binary"), path, bits, blob="own")
     folder = shared_dir(spark, "warc")
 
     def archive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,7 +116,7 @@ def write(spark: SparkSession, pages: DataFrame, min_bytes: int = 0, id: str = "
             out.close()
 
     rows = pages.select(F.col(id).cast("long").alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html"))
-    return saved(rows.mapInArrow(archive, INDEX), spark, "warc-index")
+    return saved(rows.mapInArrow(tidy(archive), INDEX), spark, "warc-index")
 
 
 def ranges(rows: list[tuple[str, int, int]]) -> list[tuple[str, int, int, list[int]]]:
@@ -157,5 +157,5 @@ def read(index: DataFrame, payloads: bool = False) -> DataFrame:
 
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = index.select("file", "offset", "length").withColumn("block", F.floor(F.col("offset") / RANGE)).repartition(n, "file", "block")
-    out = dealt.mapInArrow(fetch, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
+    out = dealt.mapInArrow(tidy(fetch), "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
     return out if payloads else out.drop("payload")
