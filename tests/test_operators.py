@@ -169,7 +169,7 @@ def sql_tables(con):
 
 
 @pytest.mark.parametrize("name", [
-    "trigrams", "classify_groups", "promote_groups", "autocorr", "period_scores", "records", "merge_padding_85", "cycles_typed", "cycle_extract_typed", "stage_compare", "validate_edited", "reverse_bits", "first_int",
+    "trigrams", "classify_groups", "promote_groups", "autocorr", "dft_export", "peaks", "period_scores", "records", "merge_padding_85", "cycles_typed", "cycle_extract_typed", "stage_compare", "validate_edited", "reverse_bits", "first_int",
     "segment_tag", "lens_in_range", "dense_without_fill", "dense_diagnostics", "code_length_hist", "header_checks", "record_checks", "group_schema", "final_export_counts", "decode_msb", "decode_lsb", "divisors",
     "period_candidates", "token_counts", "resolved_period", "manifest",
 ])

@@ -132,13 +132,18 @@ def cycles(classified: DataFrame, wanted: str = "ABCDE") -> DataFrame:
 def extract_cycles(groups: DataFrame, classified: DataFrame, max_groups: int | None = 5, wanted: str = "ABCDE") -> DataFrame:
     """The tokens of each cycle; a stream without one gives its first ``max_groups``
     groups from the first of type A (else from its start) as cycle 0."""
-    found = cycles(classified, wanted)
-    begin = classified.groupBy("stream").agg(F.coalesce(F.min(F.when(F.col("type") == wanted[0], F.col("sg"))), F.lit(0)).cast("bigint").alias("start"))
-    spare = begin.join(found.select("stream").distinct(), "stream", "left_anti")
-    spare = spare.select("stream", F.lit(0).cast("bigint").alias("cycle"), "start", F.lit(max_groups or 2**40).cast("bigint").alias("len"))
-    spans = found.unionByName(spare)
-    inside = groups.join(spans, "stream").filter("sg >= start and sg < start + len")
-    return inside.join(classified.select("stream", "sg", "type"), ["stream", "sg"]).select("stream", "cycle", "sg", "type", "gpos", "sym")
+    w = Window.partitionBy("stream").orderBy("sg")
+    per = Window.partitionBy("stream")
+    match = reduce(lambda a, b: a & b, (F.lead("type", i).over(w) == t if i else F.col("type") == t for i, t in enumerate(wanted)))
+    rows = classified.select("stream", "sg", "type").withColumn("_hit", F.coalesce(match, F.lit(False)))
+    begin = F.coalesce(F.min(F.when(F.col("type") == wanted[0], F.col("sg"))).over(per), F.lit(0))
+    rows = rows.withColumn("_none", ~F.max("_hit").over(per)).withColumn("_begin", begin)
+    starts = F.array(*(F.when(F.lag("_hit", i).over(w) if i else F.col("_hit"), F.col("sg") - i) for i in range(len(wanted))))
+    spare = F.when(F.col("_none") & (F.col("sg") >= F.col("_begin")) & (F.col("sg") < F.col("_begin") + (max_groups or 2**40)), F.col("_begin"))
+    rows = rows.withColumn("_starts", F.array_compact(F.concat(starts, F.array(spare)))).withColumn("_start", F.explode("_starts"))
+    place = F.dense_rank().over(Window.partitionBy("stream").orderBy("_start")) - 1
+    spans = rows.select("stream", "sg", "type", place.cast("bigint").alias("cycle"))
+    return groups.join(spans, ["stream", "sg"]).select("stream", "cycle", "sg", "type", "gpos", "sym")
 
 
 def top_symbols(groups: DataFrame, k: int = 8) -> DataFrame:

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,33 +23,61 @@ def histogram(series: DataFrame, bins: int = 64) -> DataFrame:
     return rows.groupBy("stream", "bin", F.round(centre, 6).alias("centre")).agg(F.count("*").alias("count"))
 
 
+def by_stream(series: DataFrame, work, schema: str) -> DataFrame:
+    """(stream, ...) of ``work(values)`` for each stream in order: rows are dealt and sorted by stream,
+    and a task goes through them batch by batch, holding one stream that may go on."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: pa.Table | None = None
+
+        def done(part: pa.Table, ends: list[int]) -> pa.RecordBatch:
+            names, values = part.column("stream").combine_chunks(), part.column("value").to_numpy().astype(float)
+            got = [work(values[s:e]) for s, e in zip([0, *ends], ends)]
+            n = [len(next(iter(g.values()))) for g in got]
+            owner = pa.array(np.repeat([e - 1 for e in ends], n))
+            return pa.RecordBatch.from_pydict({"stream": names.take(owner), **{c: pa.array(np.concatenate([g[c] for g in got])) for c in got[0]}})
+
+        for batch in batches:
+            part = pa.Table.from_batches([batch])
+            part = pa.concat_tables([rest, part]) if rest is not None else part
+            name = part.column("stream").combine_chunks()
+            ends = (np.flatnonzero(pc.not_equal(name[1:], name[:-1]).to_numpy(zero_copy_only=False)) + 1).tolist()
+            if ends:
+                yield done(part, ends)
+            rest = part.slice(ends[-1] if ends else 0)
+        if rest is not None and rest.num_rows:
+            yield done(rest, [rest.num_rows])
+
+    kind = dict(series.dtypes)["stream"]
+    rows = series.select("stream", "idx", "value").filter("stream is not null").repartition("stream").sortWithinPartitions("stream", "idx")
+    return rows.mapInArrow(run, f"stream {kind}, {schema}")
+
+
 def autocorrelation(series: DataFrame, limit: int = 256) -> DataFrame:
     """Biased autocorrelation of lags 0..max(4, min(limit, n/2)), at most n-1, lag 0 at least;
-    by NumPy in one task a stream, as a join would carry each sample once a lag."""
+    by NumPy, as a join would carry each sample once a lag."""
 
-    def lags(part: pd.DataFrame) -> pd.DataFrame:
-        x = part.sort_values("idx")["value"].to_numpy(float)
+    def lags(x: np.ndarray) -> dict[str, np.ndarray]:
         x = x - x.mean()
         n = len(x)
         most = max(min(max(4, min(limit, n // 2)), n - 1), 0)
         power = float(x @ x) or 1e-12
         got = np.array([x[: n - k] @ x[k:] for k in range(most + 1)]) / power
-        return pd.DataFrame({"stream": part["stream"].iloc[0], "lag": np.arange(most + 1), "autocorr": np.round(got, 6) + 0.0})
+        return {"lag": np.arange(most + 1), "autocorr": np.round(got, 6) + 0.0}
 
-    return series.select("stream", "idx", "value").groupBy("stream").applyInPandas(lags, f"stream {dict(series.dtypes)['stream']}, lag long, autocorr double")
+    return by_stream(series, lags, "lag long, autocorr double")
 
 
 def dft(series: DataFrame, all_bins: bool = False) -> DataFrame:
-    """(stream, k, freq, magnitude) for k = 0..n/2 (or all), by NumPy's FFT in one task a stream."""
+    """(stream, k, freq, magnitude) for k = 0..n/2 (or all), by NumPy's FFT."""
 
-    def spectrum(part: pd.DataFrame) -> pd.DataFrame:
-        x = part.sort_values("idx")["value"].to_numpy(float)
+    def spectrum(x: np.ndarray) -> dict[str, np.ndarray]:
         n = len(x)
         got = np.abs(np.fft.fft(x))[: n if all_bins else n // 2 + 1]
         k = np.arange(len(got))
-        return pd.DataFrame({"stream": part["stream"].iloc[0], "k": k, "freq": np.round(k / n, 6), "magnitude": np.round(got, 6) + 0.0})
+        return {"k": k, "freq": np.round(k / n, 6), "magnitude": np.round(got, 6) + 0.0}
 
-    return series.select("stream", "idx", "value").groupBy("stream").applyInPandas(spectrum, f"stream {dict(series.dtypes)['stream']}, k long, freq double, magnitude double")
+    return by_stream(series, spectrum, "k long, freq double, magnitude double")
 
 
 def dft_joined(series: DataFrame) -> DataFrame:

@@ -153,13 +153,13 @@ SELECT stream, cycle, sg, type, gpos, sym FROM m JOIN sp USING (stream) JOIN (SE
     over(cycles_of_types, lambda t: groups.extract_cycles(groups.split(t), groups.classify(groups.features(groups.split(t)))))
 )
 query("dense_without_fill", f"WITH {TOK}, {split_sql('251')} SELECT stream, max(sg) = 0 AND NOT bool_or(sym IN (63,195,210,249)) AS dense FROM g GROUP BY stream")(over(tok, lambda t: groups.dense_streams(groups.split(t), (63, 195, 210, 249))))
-_DENSE = "dn AS (SELECT stream FROM tok GROUP BY stream HAVING NOT bool_or(sym IN (63, 249))), tok2 AS (SELECT * FROM tok WHERE stream IN (SELECT stream FROM dn))"
+_DENSE = "td AS (SELECT stream, pos, CASE WHEN sym IN (63, 249) AND stream % 2 = 0 THEN 61 ELSE sym END AS sym FROM tok), dn AS (SELECT stream FROM td GROUP BY stream HAVING NOT bool_or(sym IN (63, 249))), tok2 AS (SELECT * FROM td WHERE stream IN (SELECT stream FROM dn))"
 _D1 = ranked("stream", "count DESC, sym", "(SELECT stream, sym, count(*) AS count FROM tok2 GROUP BY ALL)", 12)
 _D2 = ranked("stream", "count DESC, a, b", f"(SELECT stream, a, b, count(*) AS count FROM (SELECT stream, sym AS a, lead(sym) {W} AS b FROM tok2) WHERE b IS NOT NULL GROUP BY ALL)", 8)
 _D3 = ranked("stream", "count DESC, a, b, c", f"(SELECT stream, a, b, c, count(*) AS count FROM (SELECT stream, sym AS a, lead(sym) {W} AS b, lead(sym, 2) {W} AS c FROM tok2) WHERE c IS NOT NULL GROUP BY ALL)", 8)
 query("dense_diagnostics", f"""WITH {TOK.replace('251 ELSE', '210 ELSE')}, {_DENSE} SELECT stream, 'symbol' AS kind, rank, CAST(sym AS VARCHAR) AS item, count FROM ({_D1})
 UNION ALL SELECT stream, 'pair', rank, a || ' ' || b, count FROM ({_D2}) UNION ALL SELECT stream, 'triple', rank, a || ' ' || b || ' ' || c, count FROM ({_D3})""")(
-    over(tok, lambda t: groups.dense_diagnostics(t.withColumn("sym", F.when(F.col("sym") == 251, 210).otherwise(F.col("sym"))), (63, 249)))
+    over(tok, lambda t: groups.dense_diagnostics(t.withColumn("sym", F.when(F.col("sym") == 251, 210).when(F.col("sym").isin(63, 249) & (F.col("stream") % 2 == 0), 61).otherwise(F.col("sym"))), (63, 249)))
 )
 _JSON = "array_to_string(list_transform({0}, lambda x: CAST(x AS VARCHAR)), ',')"
 query("group_schema", f"""WITH {M85}, {FEAT}, {TYPED}, tc AS ({ranked("stream, sg", "count DESC, sym", "(SELECT stream, sg, sym, count(*) AS count FROM m GROUP BY ALL)", 12)}),
