@@ -54,10 +54,13 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return path
 
 
-def saved(df: DataFrame, spark: SparkSession, name: str) -> DataFrame:
-    """``df`` written once to the shared folder and read back: cuts the lineage."""
+def saved(df: DataFrame, spark: SparkSession, name: str, files: int | None = None) -> DataFrame:
+    """``df`` written once to the shared folder, in ``files`` files at most, and read back: cuts the lineage.
+
+    A task then works through several partitions, one after the other.
+    """
     path = "file://" + shared_dir(spark, name)
-    df.write.mode("overwrite").parquet(path)
+    (df.coalesce(files) if files else df).write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -82,6 +85,22 @@ def scan_bytes(df: DataFrame) -> int:
     return size if size < 1 << 60 else 64 << 20
 
 
+def few(spark: SparkSession, size: int) -> int:
+    """Partitions enough for ``size`` bytes: one for each 4 MB, and one a core."""
+    return max(spark.sparkContext.defaultParallelism, size >> 22)
+
+
+def compact(df: DataFrame) -> DataFrame:
+    """``df`` without the many small partitions of a table of many small files.
+
+    Each partition that is written is a file again, and each file costs its
+    executor several new processes where Hadoop has no native library (each
+    shows for a moment as a second copy of the JVM). Partitions of 4 MB and more stay as
+    they are, so a large table is never dealt anew.
+    """
+    return df.coalesce(few(df.sparkSession, scan_bytes(df)))
+
+
 def bucket_bits(size: int, per_bucket: int = 8 << 20) -> int:
     """Bits that name a bucket so that each holds its share of ``size`` bytes."""
     return min(20, max(6, math.ceil(math.log2(max(1, size) / per_bucket))))

@@ -47,7 +47,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, HashStore, bucket_bits, mix, put_bucket, remove, saved, scan_bytes, shared_dir, slices, tidy, word_codes, write_store
+from .common import U64, HashStore, bucket_bits, few, mix, put_bucket, remove, saved, scan_bytes, shared_dir, slices, tidy, word_codes, write_store
 from .components import Union, components
 
 LIST = 256
@@ -261,6 +261,7 @@ def link_groups(spark: SparkSession, docs: DataFrame, percent: int = 90, width:
     slots = min(26, max(16, round(math.log2(max(1, size))) - 4))  # a byte each in every worker
     ranges = 1 << max(0, slots - RANGE)
     n_tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size >> 25)
+    files = few(spark, size)
     rows = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
 
     def read(batches: Iterator[pa.RecordBatch]):
@@ -284,7 +285,7 @@ def link_groups(spark: SparkSession, docs: DataFrame, percent: int = 90, width:
             if part.any():
                 yield pa.RecordBatch.from_arrays([none, none, none, pa.nulls(1, pa.binary()), pa.array([r], pa.int64()), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())], names=["id", "n", "sid", "sig", "r", "part"])
 
-    measured = saved(rows.mapInArrow(tidy(measure), "id long, n long, sid long, sig binary, r long, part binary"), spark, "measured")
+    measured = saved(rows.mapInArrow(tidy(measure), "id long, n long, sid long, sig binary, r long, part binary"), spark, "measured", files)
     own = measured.filter("r is null").select("id", "n", "sid")
     sketch = shared_dir(spark, "sketch")
 
@@ -362,7 +363,7 @@ def link_groups(spark: SparkSession, docs: DataFrame, percent: int = 90, width:
         lead = np.repeat(np.minimum.reduceat(sid[order], starts), np.diff(np.r_[starts, len(order)]))
         yield from table.take(pa.array(order)).append_column("lead", pa.array(lead)).combine_chunks().to_batches()
 
-    lists = saved(rows.mapInArrow(tidy(index), entry).repartition(n_tasks, "tok", "block").mapInArrow(tidy(fitting), entry + ", lead long"), spark, "lists")
+    lists = saved(rows.mapInArrow(tidy(index), entry).repartition(n_tasks, "tok", "block").mapInArrow(tidy(fitting), entry + ", lead long"), spark, "lists", files)
     active, stored = shared_dir(spark, "active"), shared_dir(spark, "sets")
     write_store(lists.select(F.col("sid").alias("key")).distinct(), active, bits)
 
@@ -384,14 +385,14 @@ def link_groups(spark: SparkSession, docs: DataFrame, percent: int = 90, width:
             match.work(part["sid"].tolist(), part["n"].astype(np.int64), part["pos"].astype(np.int64))
             yield match.take()
 
-    near = saved(lists.select("tok", "block", "sid", "n", "pos", "lead").repartition(n_tasks, "lead").mapInArrow(tidy(by_list), "a long, b long"), spark, "near")
+    near = saved(lists.select("tok", "block", "sid", "n", "pos", "lead").repartition(n_tasks, "lead").mapInArrow(tidy(by_list), "a long, b long"), spark, "near", files)
     long = lists.filter("blocks > 1")
     if not long.isEmpty():
         groups = components(spark, near)
-        long = saved(long.drop("lead").join(groups.withColumnRenamed("node", "sid"), "sid", "left").withColumn("g", F.coalesce("component", "sid")), spark, "long")
+        long = saved(long.drop("lead").join(groups.withColumnRenamed("node", "sid"), "sid", "left").withColumn("g", F.coalesce("component", "sid")), spark, "long", files)
         sizes = long.groupBy("tok", "g").agg(F.count("*").alias("k"))
         main = sizes.groupBy("tok").agg(F.max_by("g", F.struct("k", "g")).alias("main"), F.count("*").alias("groups")).filter("groups > 1")
-        long = saved(long.join(main, "tok").withColumn("out", F.col("g") != F.col("main")), spark, "outsiders")
+        long = saved(long.join(main, "tok").withColumn("out", F.col("g") != F.col("main")), spark, "outsiders", files)
         # an outsider meets each block of its list, each block meets the outsiders of each other one
         crowd = long.groupBy("tok", "block").agg(F.count_if("out").alias("k")).filter("k > 0").groupBy("tok").agg(F.collect_list("block").alias("with"))
         pairs = (
@@ -409,7 +410,7 @@ def link_groups(spark: SparkSession, docs: DataFrame, percent: int = 90, width:
                 match.work(part["sid"].tolist(), part["n"].astype(np.int64), part["pos"].astype(np.int64), part["out"].tolist())
                 yield match.take()
 
-        near = saved(near.union(pairs.repartition(n_tasks, "tok", "i", "j").mapInArrow(tidy(by_pair), "a long, b long")), spark, "near")
+        near = saved(near.union(pairs.repartition(n_tasks, "tok", "i", "j").mapInArrow(tidy(by_pair), "a long, b long")), spark, "near", files)
     groups = components(spark, near)
     final = shared_dir(spark, "groups")
 
@@ -419,7 +420,7 @@ def link_groups(spark: SparkSession, docs: DataFrame, percent: int = 90, width:
             _, got = named.find(b.column("node").to_numpy().view(U64), id=np.int64)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(got["id"], mask=got["id"] == NO_ID)], names=["node", "component", "id"])
 
-    named = saved(groups.mapInArrow(tidy(with_ids), "node long, component long, id long"), spark, "named")
+    named = saved(groups.mapInArrow(tidy(with_ids), "node long, component long, id long"), spark, "named", files)
     least = named.groupBy("component").agg(F.min("id").alias("least"))
     write_store(named.join(least, "component").select(F.col("node").alias("key"), F.coalesce("least", F.lit(NO_ID)).alias("id")), final, bits)
     remove(sketch, shared, active, stored, lists, near, named)

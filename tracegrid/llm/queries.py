@@ -6,12 +6,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, decontaminate, embed, gam, jaccard, kneser_ney, linededup, maglev, sanitise, warc
+from .common import compact
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     # long texts: a batch of the default 10,000 rows would fill a worker
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return compact(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def remainder(divisor: int, id: str = "doc_id") -> Column:
