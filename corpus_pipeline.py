@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracegrid.llm import bpe, decontaminate, gam, jaccard, linededup
-from tracegrid.llm.common import free_name, saved
+from tracegrid.llm.common import compact, free_name, saved
 from tracegrid.llm.queries import RANKS, remainder, table
 
 THRESHOLD = 0.3
@@ -29,7 +29,7 @@ THRESHOLD = 0.3
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of a score of at least THRESHOLD; the labels' ids are matched, no column is an input."""
     model, out = gam.fit(docs, table(spark, sf_dir, "labels").filter(remainder(5) != 0)), free_name(docs, "score")
-    return gam.score(docs, model, out=out).filter(F.col(out) >= THRESHOLD).drop(out)
+    return gam.score(compact(docs), model, out=out).filter(F.col(out) >= THRESHOLD).drop(out)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,25 +37,25 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     counts = free_name(docs, "n_lines"), free_name(docs, "n_removed")
     removed = F.col(counts[1]) > 0
-    out = linededup.dedup(spark, docs, counts=counts).filter(~removed | F.col("text").rlike(r"\S"))
+    out = linededup.dedup(spark, compact(docs), counts=counts).filter(~removed | F.col("text").rlike(r"\S"))
     return out.withColumn("n_chars", F.when(removed, F.length("text").cast("long")).otherwise(F.col("n_chars"))).drop(*counts)
 
 
 def copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies, that of smallest id: five words at 0.8 (op5's query has its own values)."""
-    return jaccard.keep_one(spark, docs, percent=80, width=5)
+    return jaccard.keep_one(spark, compact(docs), percent=80, width=5)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no benchmark item is found."""
-    return decontaminate.clean(spark, docs, table(spark, sf_dir, "benchmark"))
+    return decontaminate.clean(spark, compact(docs), table(spark, sf_dir, "benchmark"))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, ids) of each document."""
     import public_tokenizers
 
-    ids = bpe.encode(spark, docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
+    ids = bpe.encode(spark, compact(docs), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
     return ids.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")
 
 
