@@ -25,6 +25,7 @@ import base64
 import hashlib
 import json
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -69,9 +70,9 @@ def piece_pattern(pattern: str):
     return regex.compile(pattern.replace("\\s", "\\p{White_Space}").replace("\\S", "\\P{White_Space}"))
 
 
-def pair_ranks(ranks: dict[bytes, int]) -> dict[tuple[int, int], int]:
-    """The rank of every two tokens that join to a token."""
-    return {(ranks[t[:i]], ranks[t[i:]]): r for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks}
+def pair_ranks(ranks: dict[bytes, int]) -> Iterator[tuple[tuple[int, int], int]]:
+    """Every two tokens that join to a token, with its rank."""
+    return (((ranks[t[:i]], ranks[t[i:]]), r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks)
 
 
 def rank_map(ranks: dict[bytes, int]) -> Column:
@@ -80,11 +81,12 @@ def rank_map(ranks: dict[bytes, int]) -> Column:
     A map literal is searched from end to end, so the entries are dealt over
     SLOTS small maps in an array, picked by a hash of the key.
     """
-    slots: list[dict[int, int]] = [{} for _ in range(SLOTS)]
-    for (x, y), r in pair_ranks(ranks).items():
+    slots = [""] * SLOTS  # as text: so many dicts would fill the driver
+    for (x, y), r in pair_ranks(ranks):
         key = x << ID | y
-        slots[xxhash.xxh64_intdigest(key.to_bytes(8, "little"), seed=42) & (SLOTS - 1)][key] = r << 44
-    return F.from_json(F.lit(json.dumps(slots)), "array<map<string,bigint>>").cast("array<map<bigint,bigint>>")
+        at = xxhash.xxh64_intdigest(key.to_bytes(8, "little"), seed=42) & (SLOTS - 1)
+        slots[at] += f'{"," if slots[at] else ""}"{key}":{r << 44}'
+    return F.from_json(F.lit("[{" + "},{".join(slots) + "}]"), "array<map<string,bigint>>").cast("array<map<bigint,bigint>>")
 
 
 def _let(value: Column, body) -> Column:
@@ -230,6 +232,18 @@ def distinct_pieces(docs: DataFrame, text: str, pattern: str) -> DataFrame:
     return docs.select(text).mapInArrow(tidy(cut), "piece binary").distinct()
 
 
+@contextmanager
+def short_plans(spark: SparkSession) -> Iterator[None]:
+    """Inside, descriptions of plans are cut: the driver keeps each one, and the rank map would stand in all of them."""
+    name = "spark.sql.maxPlanStringLength"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "65536")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def piece_store(spark: SparkSession, docs: DataFrame, text: str, rank_path: str, pattern: str) -> tuple[str, int]:
     """A store of the ids of every distinct piece: path and bits."""
     bits = bucket_bits(scan_bytes(docs), 32 << 20)
@@ -249,7 +263,8 @@ def piece_store(spark: SparkSession, docs: DataFrame, text: str, rank_path: str,
             yield pa.RecordBatch.from_pydict({"key": pa.array(key.view(np.int64)), "raw": pa.array(raw, pa.binary())})
 
     path = shared_dir(spark, "bpe")
-    write_store(encoded.mapInArrow(tidy(packed), "key long, raw binary"), path, bits, blob="raw", distinct=True)
+    with short_plans(spark):
+        write_store(encoded.mapInArrow(tidy(packed), "key long, raw binary"), path, bits, blob="raw", distinct=True)
     remove(pieces)
     return path, bits
 
