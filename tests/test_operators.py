@@ -193,3 +193,12 @@ def test_divisors_of_the_whole_table(spark):
             found[n].append(d)
     assert sorted((r.p_partkey, r.divisors) for r in rows) == sorted((n, ",".join(map(str, found[n]))) for n in keys)
     assert len(rows) > 501
+
+
+@pytest.mark.parametrize("name", ["decode_lsb"])
+def test_keys_over_32_bits(spark, tmp_path, name):
+    con = duckdb.connect()
+    con.execute(f"COPY (SELECT unnest([0, 1, 542362, 542363, 1199999, {2**40}, -1])::BIGINT AS p_partkey) TO '{tmp_path}/part.parquet'")
+    con.execute(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet'")
+    ours = sorted(map(tuple, registry.queries()[name](spark, str(tmp_path)).collect()))
+    assert ours == sorted(con.execute(registry.oracle_sql()[name]).fetchall())

@@ -417,9 +417,10 @@ query("record_checks", f"""SELECT CAST(p_partkey AS VARCHAR) AS path, CAST(p_par
 
 
 def coded(spark, sf_dir):
-    """Each part's key as 32 bits of a prefix code of four symbols, with 1, 2, 3 and 3 bits."""
+    """Each part's key as 32 bits of a prefix code of four symbols, with 1, 2, 3 and 3 bits. Of a larger product the low 32 bits count."""
     codes = [F.array(*map(F.lit, x)).alias(n) for x, n in (((61, 91, 195, 249), "symbols"), ((1, 2, 3, 3), "lens"))]
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("stream"), F.unhex(F.lpad(F.hex(F.col("p_partkey") * 7919), 8, "0")).alias("data"), *codes, F.lit(32).cast("bigint").alias("bits"))
+    low = (F.col("p_partkey") * 7919).bitwiseAND(0xFFFFFFFF)
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("stream"), F.unhex(F.lpad(F.hex(low), 8, "0")).alias("data"), *codes, F.lit(32).cast("bigint").alias("bits"))
 
 
 def decoded_sql(bit: str) -> str:
