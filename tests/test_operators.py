@@ -195,7 +195,7 @@ def test_divisors_of_the_whole_table(spark):
     assert len(rows) > 501
 
 
-@pytest.mark.parametrize("name", ["decode_lsb"])
+@pytest.mark.parametrize("name", ["decode_lsb", "decode_msb"])
 def test_keys_over_32_bits(spark, tmp_path, name):
     con = duckdb.connect()
     con.execute(f"COPY (SELECT unnest([0, 1, 542362, 542363, 1199999, {2**40}, -1])::BIGINT AS p_partkey) TO '{tmp_path}/part.parquet'")
