@@ -202,3 +202,15 @@ def test_keys_over_32_bits(spark, tmp_path, name):
     con.execute(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet'")
     ours = sorted(map(tuple, registry.queries()[name](spark, str(tmp_path)).collect()))
     assert ours == sorted(con.execute(registry.oracle_sql()[name]).fetchall())
+
+
+def test_schema_shares_that_are_ties(spark, tmp_path):
+    con = duckdb.connect()  # a stream's size and its fills; 1/32 and 9/32 end in a five at the fifth digit, 1/160 does so only in decimal
+    shapes = [(32, f) for f in range(33)] + [(160, f) for f in range(1, 160, 2)]
+    con.execute("CREATE TABLE shape AS SELECT unnest(?) AS s", [[{"u": i, "n": n, "f": f} for i, (n, f) in enumerate(shapes)]])
+    con.execute(f"""COPY (SELECT row_number() OVER () AS event_id, TIMESTAMP '2024-01-01' + to_seconds(k) AS ts, s.u::BIGINT AS user_id,
+      CASE WHEN k < s.f THEN 'view' ELSE 'purchase' END AS event_type, 50.0::DOUBLE AS value FROM shape, range(160) r(k) WHERE k < s.n) TO '{tmp_path}/events.parquet'""")
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    ours = sorted(map(tuple, registry.queries()["group_schema"](spark, str(tmp_path)).collect()))
+    assert ours == sorted(con.execute(registry.oracle_sql()["group_schema"]).fetchall())
+    assert len(ours) == len(shapes) and sum('"fillPct":"0.2812"' in json for _, json in ours) > 0

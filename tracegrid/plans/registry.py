@@ -170,7 +170,7 @@ gj AS (SELECT stream, string_agg('{{"index":' || sg || ',"type":"' || type || '"
   '],"pos210":[' || {_JSON.format('at_mark')} || '],"pos61":[' || {_JSON.format('at_rare')} || '],"count249":' || soft || ',"has195Pair":' || pair || ',"top":[' || top || ']}}', ',' ORDER BY sg) AS groups,
   count(*) = 1 AND bool_and(len(at_param) + len(at_control) + len(at_mark) + soft = 0) AS dense, first(wide) AS wide, sum(size) AS n FROM ty JOIN tj USING (stream, sg) GROUP BY stream)
 SELECT stream, '{{' || CASE WHEN dense THEN '"denseSummary":{{"topSymbols":[' || wide || '],"countSymbols":' || n || '}},' ELSE '' END || '"superGroups":[' || groups || '],"cycles":[' || coalesce(cycles, '') || ']}}' AS json FROM gj JOIN cj USING (stream)""")(
-    over(tok, lambda t: sinks.group_schema(ty := typed(t), groups.cycles(ty, ["M", "M", "D?"]), merged(0.85)(t)))
+    over(tok, lambda t: sinks.group_schema(ty := typed(t), groups.cycles(ty, ["M", "M", "D?"]), merged(0.85)(t), half_even=True))
 )
 query("group_topk", f"WITH {M85}, c AS (SELECT stream, sg, sym, count(*) AS count FROM m GROUP BY ALL) " + ranked("stream, sg", "count DESC, sym", "c", 6))(over(tok, lambda t: groups.top_symbols(merged(0.85)(t), 6)))
 query("group_size_summary", f"""WITH {M70}, s AS (SELECT stream, sg, count(*) AS size FROM m GROUP BY ALL)

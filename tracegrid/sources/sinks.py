@@ -74,19 +74,21 @@ def layout_files(layout: DataFrame) -> dict[str, DataFrame]:
     }
 
 
-def group_schema(features: DataFrame, cycles: DataFrame, groups_: DataFrame, code: DataFrame | None = None, k: int = 8, dense: int = 12) -> DataFrame:
+def group_schema(features: DataFrame, cycles: DataFrame, groups_: DataFrame, code: DataFrame | None = None, k: int = 8, dense: int = 12, half_even: bool = False) -> DataFrame:
     """(stream, json): the code's facts, the summary of a dense stream, groups and cycles as one document.
 
     ``code(stream, n, payload_start, total_bits)`` may be missing; a stream is dense here
-    if it is one group without 63, 195, 210 and 249.
+    if it is one group without 63, 195, 210 and 249. The share of fills has four digits: of its
+    shortest decimal form, halves up, or with ``half_even`` of its exact value, halves to even.
     """
+    share = F.format_number("density", 4) if half_even else F.format_string("%.4f", "density")
     counts = groups_.groupBy("stream", "sg", "sym").agg(F.count("*").alias("count"))
     pairs = lambda c: F.transform(c, lambda x: F.struct(x["sym"].alias("sym"), x["count"].alias("count")))
     ranked = top(counts, dense, (F.desc("count"), "sym"), ("stream", "sg"))
     tops = ranked.groupBy("stream", "sg").agg(F.array_sort(F.collect_list(F.struct("rank", "sym", "count"))).alias("_top"))
     one = features.join(tops, ["stream", "sg"], "left")
     entry = F.struct(
-        F.col("sg").alias("index"), "type", "size", F.format_string("%.4f", "density").alias("fillPct"), F.col("best_run").alias("bestRun91"), F.col("at_param").alias("pos63"),
+        F.col("sg").alias("index"), "type", "size", share.alias("fillPct"), F.col("best_run").alias("bestRun91"), F.col("at_param").alias("pos63"),
         F.col("at_control").alias("pos195"), F.col("at_mark").alias("pos210"), F.col("at_rare").alias("pos61"), F.col("soft").alias("count249"), F.col("pair").alias("has195Pair"), pairs(F.slice("_top", 1, k)).alias("top"),
     )
     sparse = (F.size("at_param") == 0) & (F.size("at_control") == 0) & (F.size("at_mark") == 0) & (F.col("soft") == 0)
