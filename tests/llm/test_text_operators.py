@@ -56,6 +56,12 @@ def test_bpe(spark, docs, rows, empty):
     assert bpe.encode(spark, empty, RANKS, P.PATTERN).count() == 0
 
 
+def test_bpe_rank_map_is_short(spark):
+    """The driver writes each plan out in full, with the rank map."""
+    pieces = spark.createDataFrame([(b"one",)], "piece binary")
+    assert len(bpe.encode_pieces(pieces, bpe.load_ranks(RANKS))._jdf.queryExecution().optimizedPlan().toString()) < 3 << 20
+
+
 # ---------------------------------------------------------------- 4
 
 

@@ -50,7 +50,7 @@ CLASS[((_BYTE | 32) >= 97) & ((_BYTE | 32) < 123) & (_BYTE < 128)] = 2
 CLASS[[0xC3, *range(0xC4, 0xCA), 0xD0, 0xD1, *range(0x80, 0xC0)]] = 2  # U+00C0 to U+027F, U+0400 to U+047F
 ID = 17  # bits of a token id
 MASK = (1 << ID) - 1
-SLOTS = 1 << 17
+STEPS, SLOTS = 1 << 15, 1 << 18  # of the rank map
 NONE = 1 << ID  # the rank of a pair that has none
 LONG = 1024
 CACHE = 1_000_000  # hashes of pieces that a task remembers
@@ -75,18 +75,38 @@ def pair_ranks(ranks: dict[bytes, int]) -> Iterator[tuple[tuple[int, int], int]]
     return (((ranks[t[:i]], ranks[t[i:]]), r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks)
 
 
+def rank_table(ranks: dict[bytes, int]) -> np.ndarray:
+    """The rank map as one flat array: STEPS steps, then SLOTS entries ``key << ID | rank``, -1 where there is none.
+
+    A key is two packed ids. Its hash picks a step, and hash and step the one
+    entry that can be its: steps are chosen so that no two keys share an entry.
+    """
+    pairs = [(x << ID | y, r) for (x, y), r in pair_ranks(ranks)]
+    key, rank = np.array(pairs, np.int64).reshape(-1, 2).T
+    h = np.fromiter((xxhash.xxh64_intdigest(k.to_bytes(8, "little"), seed=42) for k in key.tolist()), U64)
+    group, first, stride = ((h >> U64(by)).astype(np.int64) & (size - 1) for by, size in ((0, STEPS), (15, SLOTS), (33, 1 << 31)))
+    out = np.full(STEPS + SLOTS, -1)
+    out[:STEPS] = 0
+    order = np.argsort(group, kind="stable")
+    groups = np.split(order, 1 + np.flatnonzero(np.diff(group[order]))) if len(order) else []
+    for at in sorted(groups, key=len, reverse=True):
+        for step in range(SLOTS):
+            slots = STEPS + (first[at] + step * stride[at] & (SLOTS - 1))
+            if (out[slots] < 0).all() and len(set(slots.tolist())) == len(at):
+                out[group[at[0]]], out[slots] = step, key[at] << ID | rank[at]
+                break
+        else:
+            raise ValueError("the rank map's keys find no places")
+    return out
+
+
 def rank_map(ranks: dict[bytes, int]) -> Column:
-    """The literal rank map: two packed ids -> their rank, shifted to its place.
+    """The literal rank map, as ``rank_table``.
 
-    A map literal is searched from end to end, so the entries are dealt over
-    SLOTS small maps in an array, picked by a hash of the key.
+    The driver holds it in every plan and task, and describes each plan in full
+    before it cuts the description, so it is one flat array.
     """
-    slots = [""] * SLOTS  # as text: so many dicts would fill the driver
-    for (x, y), r in pair_ranks(ranks):
-        key = x << ID | y
-        at = xxhash.xxh64_intdigest(key.to_bytes(8, "little"), seed=42) & (SLOTS - 1)
-        slots[at] += f'{"," if slots[at] else ""}"{key}":{r << 44}'
-    return F.from_json(F.lit("[{" + "},{".join(slots) + "}]"), "array<map<string,bigint>>").cast("array<map<bigint,bigint>>")
+    return F.from_json(F.lit("[" + ",".join(map(str, rank_table(ranks).tolist())) + "]"), "array<bigint>")
 
 
 def _let(value: Column, body) -> Column:
@@ -114,7 +134,11 @@ def _folded(s: Column, table: Column, singles: Column) -> Column:
     none, low = F.lit(NONE << 44), (1 << 44) - 1
 
     def rank(key: Column) -> Column:
-        return F.coalesce(F.element_at(F.get(table, F.xxhash64(key).bitwiseAND(SLOTS - 1).cast("int")), key), none)
+        def entry(h: Column) -> Column:
+            step = F.get(table, h.bitwiseAND(STEPS - 1).cast("int"))
+            return F.get(table, ((F.shiftrightunsigned(h, 15) + step * F.shiftrightunsigned(h, 33)).bitwiseAND(SLOTS - 1) + STEPS).cast("int"))
+
+        return _let(_let(F.xxhash64(key), entry), lambda e: F.when(F.shiftright(e, ID) == key, F.shiftleft(e.bitwiseAND(MASK), 44)).otherwise(none))
 
     def key(x: Column, y: Column) -> Column:
         return F.shiftleft(x, ID).bitwiseOR(y)
